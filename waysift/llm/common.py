@@ -75,6 +75,7 @@ def drop(tables: list[DataFrame]) -> None:
             _remove(t.sparkSession, f.rsplit("/", 1)[0])
 
 
-def sample_by_hash(df: DataFrame, id_col: str, n: int, seed: int = 7) -> DataFrame:
-    """n rows chosen by a hash of the id: the same rows at every partitioning, a top-n rather than a full sort."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col)).limit(n)
+def training_sample(labelled: DataFrame, docs: DataFrame, n: int, max_chars: int = 1 << 15):
+    """A bounded sample to fit a classifier on, as an Arrow table sorted by doc_id: texts of at most max_chars characters of the n labelled rows that come first by a hash of the id. labelled: doc_id and labels; docs: doc_id, text. The picked ids are at most n rows, so they are broadcast."""
+    picked = labelled.filter("doc_id is not null").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(n)
+    return docs.filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").limit(2 * n).toArrow().sort_by("doc_id")
