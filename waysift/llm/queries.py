@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mjpeg, simhash
+from . import bpe, langid, mjpeg, packing, simhash
 from .common import fold, read
 
 
@@ -24,6 +24,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op9_mjpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mjpeg.digest(mjpeg.clips(mjpeg.store(read(spark, sf_dir, "documents"))))
 
@@ -36,6 +40,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_language_id": op3_language_id,
+    "op8_packing": op8_packing,
     "op9_mjpeg": op9_mjpeg,
     "op10_simhash": op10_simhash,
 }
