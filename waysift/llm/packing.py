@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -76,53 +75,54 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 
 
 def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE, sentence: float = SENTENCE, torn: float = TORN) -> list[int]:
-    """Ends of the windows of least cost over a stream of n tokens. Possible cuts: documents' and sentences' ends, the stream's end, and a whole window after each of these and after each whole window where no other cut is in reach."""
-    price: dict[int, float] = dict.fromkeys(sentence_ends.tolist(), sentence)
-    price.update(dict.fromkeys(doc_ends.tolist(), 0.0))
-    price.pop(0, None)
-    price[n] = 0.0
-    soft = sorted(price)
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    cost: dict[int, float] = {0: 0.0}
-    came: dict[int, int] = {}
-    queue: deque[tuple[int, float]] = deque([(0, 0.0)])  # positions with their cost + position, rising in both
-    whole: deque[int] = deque([size])  # ends of whole windows after known cuts, rising
-    k, m, at = 0, len(soft), 0
-    while k < m:
-        at = soft[k]
-        if whole and whole[0] < at:
-            at = whole.popleft()
-            p, tear = torn, True
-        else:
-            if whole and whole[0] == at:
-                whole.popleft()
-            k += 1
-            p, tear = price[at], False
-        if at in cost or at > n:
-            continue
-        if tear:  # only as the end of a whole window
-            best, frm = cost[at - size], at - size
-        else:
-            low = at - size
-            while queue[0][0] < low:
-                queue.popleft()
-            frm, best = queue[0]
-            best += size - at
-            for w in powers:
-                c = cost.get(at - w)
-                if c is not None and c < best:
-                    best, frm = c, at - w
-        cost[at] = best = best + p
-        came[at] = frm
-        best += at
-        while queue and queue[-1][1] >= best:
+    """Ends of the windows of least cost over a stream of n tokens. Possible cuts: documents' and sentences' ends, the stream's end, and a whole window after each of these, or several where no other cut is in reach."""
+    soft = np.union1d(np.union1d(doc_ends, sentence_ends), [0, n])
+    gap = np.diff(soft)
+    steps = np.maximum(1, (gap - 1) // size)
+    base = np.repeat(soft[:-1], steps)
+    whole = base + size * (1 + np.arange(len(base)) - np.repeat(np.cumsum(steps) - steps, steps))
+    at = np.union1d(soft, whole[whole < n])
+    price = np.full(len(at), float(torn))
+    price[np.searchsorted(at, sentence_ends)] = sentence
+    price[np.searchsorted(at, np.r_[doc_ends, 0, n])] = 0
+    is_soft = np.zeros(len(at), bool)
+    is_soft[np.searchsorted(at, soft)] = True
+    exact: dict[int, list[int]] = {}  # cuts a power of two before a soft cut
+    w = 1
+    while w <= size:
+        j = np.minimum(np.searchsorted(at, at - w), len(at) - 1)
+        for k, f in zip(*((x[is_soft & (at[j] == at - w)]).tolist() for x in (np.arange(len(at)), j)), strict=True):
+            exact.setdefault(k, []).append(f)
+        w *= 2
+    before = np.searchsorted(at, at - size).tolist()
+    cost, came, pos, fee, soft_at = [0.0], [0], at.tolist(), price.tolist(), is_soft.tolist()
+    queue, least, head = [0], [0.0], 0  # cuts with their cost + position, rising in both
+    for k in range(1, len(pos)):
+        p = pos[k]
+        if soft_at[k]:
+            low = p - size
+            while pos[queue[head]] < low:
+                head += 1
+            frm, best = queue[head], least[head] + size - p
+            for f in exact.get(k, ()):
+                if cost[f] < best:
+                    frm, best = f, cost[f]
+        else:  # only as the end of a whole window
+            frm = before[k]
+            best = cost[frm]
+        best += fee[k]
+        cost.append(best)
+        came.append(frm)
+        best += p
+        while len(queue) > head and least[-1] >= best:
             queue.pop()
-        queue.append((at, best))
-        whole.append(at + size)
-    out = []
-    while at:
-        out.append(at)
-        at = came[at]
+            least.pop()
+        queue.append(k)
+        least.append(best)
+    out, k = [], len(pos) - 1
+    while k:
+        out.append(pos[k])
+        k = came[k]
     return out[::-1]
 
 
@@ -157,7 +157,7 @@ class Packer:
         data = memoryview(self.ids.tobytes())
         crc = [zlib.crc32(data[4 * i : 4 * j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
         total = np.array([d[3] for d in self.docs], np.int64)
-        out = [self.docs[k][0] for k in doc.tolist()], held[doc] + a - begin[doc], b - a, np.array(crc, np.int64), total[doc], self.next + seq, a - first, [self.ids[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        out = [self.docs[k][0] for k in doc.tolist()], held[doc] + a - begin[doc], b - a, np.array(crc, np.int64), total[doc], self.next + seq, a - first, self.ids[:done]
         self.next += len(ends)
         k = int(np.searchsorted(upto, done, "right"))
         rest = self.docs[k:]
@@ -185,8 +185,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 0, size: int = SI
             *cols, ids = packer.flush(last)
             made = [pa.array(c, pa.int64()) for c in cols]
             if with_ids:
-                flat = np.concatenate(ids) if ids else np.zeros(0, "<u4")
-                made.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[2])], pa.int32()), pa.array(flat.astype(np.int32))))
+                made.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(cols[2])], pa.int32()), pa.array(ids.astype(np.int32))))
             return pa.record_batch(made, names=[*NAMES, "ids"][: len(made)])
 
         for b in batches:
