@@ -31,7 +31,7 @@ TRAIN_TEXTS = 2500
 ODDS, VECTORS, STATE, SIDE = 1 << 18, 1 << 14, 8, 4
 GRAMS = 3, 4, 5, 6
 #: Of learned vectors, in steps of the network's rate.
-RATE = 0.3
+RATE = 3
 INPUT = 2 * SIDE + 4
 
 
@@ -203,8 +203,8 @@ def odds(docs: np.ndarray, rows: np.ndarray, labels: np.ndarray, keep: np.ndarra
     return np.where(c1 + c0 > 0, z, 0).astype(np.float32)
 
 
-def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: float = 0.5, at: float = 0.7, epochs: int = 8, batch: int = 32, texts: int = 10_000, seed: int = 3) -> Model:
-    """share: of toxic texts among all, for the point that the score at shall separate best; a fifth of the texts set it. Odds that train the network are of the other half of the texts. Epochs are more, up to 60, where they are short of so many texts in all."""
+def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: float = 0.5, at: float = 0.7, epochs: int = 8, batch: int = 32, texts: int = 30_000, seed: int = 3) -> Model:
+    """share: of toxic texts among all, for the point that the score at shall separate best; a fifth of the texts set it. Odds that train the network on a fold of the texts are of the other folds (two, or eight of under 1,500 texts). Epochs are more, up to 60, where they are short of so many texts in all."""
     model, rng = Model(seed), np.random.default_rng(seed)
     if len(labels) < 4 or labels.min() == labels.max():
         model.constant = float(labels.mean()) if len(labels) else 0.5
@@ -215,13 +215,14 @@ def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: float =
     seen = np.unique(doc * len(w.odds_row) + w.kind)  # text and kind of word
     sd, sk = seen // len(w.odds_row), seen % len(w.odds_row)
     gd, gr = np.repeat(sd, w.grams[sk]), gather(w.gram_row, w.gram_first[sk], w.grams[sk])
-    part = rng.integers(0, 5, len(labels))  # 0 sets the point; 1, 2 and 3, 4 are the halves
+    folds = 2 if len(labels) >= 1500 else 8
+    part = np.where(rng.integers(0, 5, len(labels)) == 0, 0, 1 + rng.permutation(len(labels)) % folds)  # 0 sets the point
     table = lambda keep: (odds(sd, w.odds_row[sk], labels, keep), odds(gd, gr, labels, keep))
-    if any(len(set(labels[k].tolist())) < 2 for k in (part == 0, (part == 1) | (part == 2), part > 2)):
+    if any(len(set(labels[part == k].tolist())) < 2 for k in range(folds + 1)):
         part[:] = 0
     own = part > 0 if (part > 0).any() else part == 0
-    halves = ((part == 1) | (part == 2), part > 2) if (part > 0).any() else (own,)
-    tables = [table(~h & own) if len(halves) > 1 else table(own) for h in halves]
+    parts = [part == k for k in range(1, folds + 1)] if (part > 0).any() else [own]
+    tables = [table(~h & own) if len(parts) > 1 else table(own) for h in parts]
     model.word_odds, model.gram_odds = table(own)
     p, opt = model.p, Adam(model.p, rate=5e-3)
     spans = np.diff(upto)
@@ -240,8 +241,8 @@ def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: float =
     epochs = max(epochs, min(60, texts // len(labels)))
     for epoch in range(epochs):
         opt.rate = 5e-3 * (1 - epoch / epochs) + 5e-4
-        for half, (wo, go) in zip(halves, tables, strict=True):
-            docs = rng.permutation(np.flatnonzero(half))
+        for one, (wo, go) in zip(parts, tables, strict=True):
+            docs = rng.permutation(np.flatnonzero(one))
             x = model.inputs(w, wo, go)
             if epoch == 0:  # to begin with, the window of the largest sum of odds
                 strength = np.r_[np.maximum(x[:, 2 * SIDE], 0) + np.maximum(x[:, 2 * SIDE + 1], 0), 0][win].sum(1)
