@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mjpeg, packing, quality, simhash, toxicity
+from . import bpe, langid, mjpeg, packing, quality, simhash, substrings, toxicity
 from .common import fold, read
 
 
@@ -30,6 +30,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(read(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest"))).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, read(spark, sf_dir, "labels"), "quality", 5, 0, at=0.3)
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_substring_dedup": op4_substring_dedup,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_mjpeg": op9_mjpeg,
