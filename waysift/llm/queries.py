@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mjpeg, packing, quality, simhash, substrings, toxicity
+from . import bpe, hnsw, langid, mjpeg, packing, quality, simhash, substrings, toxicity
 from .common import fold, read
 
 
@@ -35,6 +35,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.coalesce(F.sha2("kept", 256), F.lower(F.hex("digest"))).alias("kept_sha256"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = quality.train(docs, read(spark, sf_dir, "labels"), "quality", 5, 0, at=0.3)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_substring_dedup": op4_substring_dedup,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op9_mjpeg": op9_mjpeg,
