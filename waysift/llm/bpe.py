@@ -243,9 +243,10 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 class Encoder:
     """Blocks of whole texts to ids, with the chunks and words that the worker has already seen. specials: strings that are one token wherever they stand."""
 
-    def __init__(self, replay: MergeReplay, pattern: str, specials: dict[str, int] | None = None) -> None:
+    def __init__(self, replay: MergeReplay, pattern: str, specials: dict[str, int] | None = None, kept: int = KEPT) -> None:
         import regex
 
+        self.kept = kept
         self.replay, self.words_in, self.specials = replay, regex.compile(pattern).findall, specials or {}
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")").split if self.specials else None
         self.own = {s.encode(): struct.pack("<I", i) for s, i in self.specials.items()}
@@ -268,7 +269,7 @@ class Encoder:
         """Ids of the UTF-8 texts raw[offsets[k]:offsets[k + 1]], one after another, and each text's offset there."""
         if not len(raw):
             return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
-        if len(self.known) > KEPT:
+        if len(self.known) > self.kept:
             self.known = dict(self.own)
         data = raw.tobytes()
         starts = units(raw, offsets, [m.start() for s in self.own for m in re.finditer(re.escape(s), data)])

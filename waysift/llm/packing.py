@@ -30,7 +30,9 @@ from .common import bound_batches, id_text
 
 SIZE = 1024
 #: What a cut costs, in tokens of padding, at a sentence's end and elsewhere.
-SENTENCE, TORN = 1, 8
+SENTENCE, TORN = 1, 4
+#: Of the sentences' ends in each so many tokens, the last is a possible cut.
+GRAIN = 32
 #: Tokens that are solved at a time at least.
 BLOCK = 1 << 18
 
@@ -70,12 +72,12 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
             raise ValueError("merges aren't in the order of their ids")
         ends = np.zeros(max(*model["vocab"].values(), *specials.values(), 0) + 1, bool)
         ends[[i for t, i in ranks.items() if t.rstrip(b" ")[-1:] in (b".", b"!", b"?", b"\n")]] = True
-        _tokenizers[path, pattern] = Tokenizer(Encoder(MergeReplay(ranks, merges), pattern, specials), ends)
+        _tokenizers[path, pattern] = Tokenizer(Encoder(MergeReplay(ranks, merges), pattern, specials, kept=1_200_000), ends)
     return _tokenizers[path, pattern]
 
 
 def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE, sentence: float = SENTENCE, torn: float = TORN) -> list[int]:
-    """Ends of the windows of least cost over a stream of n tokens. Possible cuts: documents' and sentences' ends, the stream's end, and a whole window after each of these, or several where no other cut is in reach."""
+    """Ends of the windows of least cost over a stream of n tokens. Possible cuts: documents' and sentences' ends, the stream's end, and a whole window after each of these, or several where no other cut is in reach. A window of a power of two tokens costs no padding from a quarter of size up."""
     soft = np.union1d(np.union1d(doc_ends, sentence_ends), [0, n])
     gap = np.diff(soft)
     steps = np.maximum(1, (gap - 1) // size)
@@ -88,7 +90,7 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SI
     is_soft = np.zeros(len(at), bool)
     is_soft[np.searchsorted(at, soft)] = True
     exact: dict[int, list[int]] = {}  # cuts a power of two before a soft cut
-    w = 1
+    w = max(1, size // 4)
     while w <= size:
         j = np.minimum(np.searchsorted(at, at - w), len(at) - 1)
         for k, f in zip(*((x[is_soft & (at[j] == at - w)]).tolist() for x in (np.arange(len(at)), j)), strict=True):
@@ -96,7 +98,7 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SI
         w *= 2
     before = np.searchsorted(at, at - size).tolist()
     cost, came, pos, fee, soft_at = [0.0], [0], at.tolist(), price.tolist(), is_soft.tolist()
-    queue, least, head = [0], [0.0], 0  # cuts with their cost + position, rising in both
+    queue, least, head = [-1, 0], [float("-inf"), 0.0], 1  # cuts with their cost + position, rising in both, after a stop
     for k in range(1, len(pos)):
         p = pos[k]
         if soft_at[k]:
@@ -104,9 +106,10 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SI
             while pos[queue[head]] < low:
                 head += 1
             frm, best = queue[head], least[head] + size - p
-            for f in exact.get(k, ()):
-                if cost[f] < best:
-                    frm, best = f, cost[f]
+            if k in exact:
+                for f in exact[k]:
+                    if cost[f] < best:
+                        frm, best = f, cost[f]
         else:  # only as the end of a whole window
             frm = before[k]
             best = cost[frm]
@@ -114,9 +117,10 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SI
         cost.append(best)
         came.append(frm)
         best += p
-        while len(queue) > head and least[-1] >= best:
+        while least[-1] >= best:
             queue.pop()
             least.pop()
+        head = min(head, len(queue))
         queue.append(k)
         least.append(best)
     out, k = [], len(pos) - 1
@@ -142,6 +146,7 @@ class Packer:
         n, sizes = len(self.ids), np.array([d[2] for d in self.docs], np.int64)
         upto = np.cumsum(sizes)
         where = np.flatnonzero(self.ends[self.ids]) + 1
+        where = where[np.r_[where[1:] // GRAIN != where[:-1] // GRAIN, True]] if len(where) else where
         ends = cuts(n, upto, where, self.size, self.sentence, self.torn) if n else []
         if not last:
             ends = ends[: max(0, len(ends) - 2)]
