@@ -69,7 +69,7 @@ class Words:
         upto = np.r_[0, np.cumsum(n + 2)]
         text = np.ones(int(upto[-1]), np.uint32)
         text[np.arange(int(n.sum())) + np.repeat(1 + 2 * np.arange(len(n)), n)] = gather(low, a, n)
-        owner = np.repeat(np.arange(len(n)), n + 2)
+        owner = np.repeat(np.arange(len(n), dtype=np.int32), n + 2)
         rows, owners = [], []
         code = text.astype(np.uint64)
         for k in range(2, max(GRAMS) + 1):
@@ -78,7 +78,7 @@ class Words:
                 own = owner[: len(code)]
                 inside = own == owner[k - 1 :]
                 g = code[inside] * np.uint64(0xD6E8FEB86659FD93)
-                rows.append(((g ^ g >> np.uint64(32)) % np.uint64(ODDS)).astype(np.int64))
+                rows.append(((g ^ g >> np.uint64(32)) % np.uint64(ODDS)).astype(np.int32))
                 owners.append(own[inside])
         rows, owners = np.concatenate(rows), np.concatenate(owners)
         order = np.argsort(owners, kind="stable")
@@ -112,10 +112,16 @@ class Model:
         """By kind of word."""
         if not len(w.grams):
             return np.zeros((0, INPUT), np.float32)
-        g = gram_odds[w.gram_row]
-        n = w.grams[:, None]
-        odds = np.stack((word_odds[w.odds_row], np.maximum.reduceat(g, w.gram_first), np.add.reduceat(g, w.gram_first) / w.grams, np.minimum.reduceat(g, w.gram_first)), 1) / 4
-        return np.concatenate((self.p["word"][w.odds_row % VECTORS], np.add.reduceat(self.p["gram"][w.gram_row % VECTORS], w.gram_first) / n, odds), 1).astype(np.float32)
+        out = np.empty((len(w.grams), INPUT), np.float32)
+        out[:, :SIDE], out[:, 2 * SIDE] = self.p["word"][w.odds_row % VECTORS], word_odds[w.odds_row] / 4
+        for i in range(0, len(out), 1 << 15):
+            k = slice(i, i + (1 << 15))
+            first, n = w.gram_first[k], w.grams[k]
+            rows = w.gram_row[first[0] : first[-1] + n[-1]]
+            first, g = first - first[0], gram_odds[rows]
+            out[k, SIDE : 2 * SIDE] = np.add.reduceat(self.p["gram"][rows % VECTORS], first) / n[:, None]
+            out[k, 2 * SIDE + 1], out[k, 2 * SIDE + 2], out[k, 2 * SIDE + 3] = np.maximum.reduceat(g, first) / 4, np.add.reduceat(g, first) / n / 4, np.minimum.reduceat(g, first) / 4
+        return out
 
     def layer(self, x: np.ndarray, win: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """States by window and word of one direction; x: gate inputs by kind, its last row for no word."""
@@ -191,13 +197,22 @@ class Model:
         return sigmoid(np.maximum.reduceat(z, upto[:-1]).astype(np.float64) + self.shift)
 
 
-def odds(docs: np.ndarray, rows: np.ndarray, labels: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """By table row: log odds of the texts (numbered docs) that have it being toxic, over the texts in keep, in standard errors; rows that none has are 0."""
-    pair = np.unique(docs[keep[docs]] * ODDS + rows[keep[docs]])
-    d, r = pair // ODDS, pair % ODDS
-    n1, n0 = labels[keep].sum(), (1 - labels[keep]).sum()
+def counted(raw: np.ndarray, offsets: np.ndarray, groups: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """By group of texts and table row: the texts that have it, for words and for n-grams."""
+    words, grams = np.zeros(n * ODDS), np.zeros(n * ODDS)
+    for i in range(0, len(groups), 100):
+        w = Words(raw[offsets[i] : offsets[min(i + 100, len(groups))]], offsets[i : i + 101] - offsets[i])
+        seen = np.unique(np.repeat(np.arange(len(w.first) - 1), np.diff(w.first)) * len(w.odds_row) + w.kind)  # text and kind of word
+        doc, kind = seen // max(1, len(w.odds_row)), seen % max(1, len(w.odds_row))
+        for count, d, r in ((words, doc, w.odds_row[kind]), (grams, np.repeat(doc, w.grams[kind]), gather(w.gram_row, w.gram_first[kind], w.grams[kind]))):
+            pair = np.unique(d * ODDS + r)
+            count += np.bincount(groups[i + pair // ODDS] * ODDS + pair % ODDS, minlength=n * ODDS)
+    return words.reshape(n, ODDS), grams.reshape(n, ODDS)
+
+
+def odds(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """By table row: log odds of the texts that have it being toxic, in standard errors; rows that none has are 0. c1, c0: texts that have it; n1, n0: all."""
     a1, a0 = 2 * n1 / (n1 + n0), 2 * n0 / (n1 + n0)
-    c1, c0 = (np.bincount(r, labels[d] == y, ODDS) for y in (1, 0))
     z = np.log((c1 + a1) / (n1 + a1)) - np.log((c0 + a0) / (n0 + a0)) - np.log(a1 / (n1 + a1)) + np.log(a0 / (n0 + a0))
     z /= np.sqrt(1 / (c1 + a1) + 1 / (c0 + a0))
     return np.where(c1 + c0 > 0, z, 0).astype(np.float32)
@@ -211,19 +226,24 @@ def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, share: float =
         return model
     w = Words(raw, offsets)
     win, upto = w.windows()
-    doc = np.repeat(np.arange(len(labels)), np.diff(w.first))
-    seen = np.unique(doc * len(w.odds_row) + w.kind)  # text and kind of word
-    sd, sk = seen // len(w.odds_row), seen % len(w.odds_row)
-    gd, gr = np.repeat(sd, w.grams[sk]), gather(w.gram_row, w.gram_first[sk], w.grams[sk])
     folds = 2 if len(labels) >= 1500 else 8
     part = np.where(rng.integers(0, 5, len(labels)) == 0, 0, 1 + rng.permutation(len(labels)) % folds)  # 0 sets the point
-    table = lambda keep: (odds(sd, w.odds_row[sk], labels, keep), odds(gd, gr, labels, keep))
     if any(len(set(labels[part == k].tolist())) < 2 for k in range(folds + 1)):
         part[:] = 0
     own = part > 0 if (part > 0).any() else part == 0
     parts = [part == k for k in range(1, folds + 1)] if (part > 0).any() else [own]
-    tables = [table(~h & own) if len(parts) > 1 else table(own) for h in parts]
-    model.word_odds, model.gram_odds = table(own)
+    counts = counted(raw, offsets, part * 2 + labels.astype(np.int64), 2 * folds + 2)
+    sizes = np.bincount(part * 2 + labels.astype(np.int64), minlength=2 * folds + 2)
+
+    def table(but: int) -> tuple[np.ndarray, np.ndarray]:
+        """Odds over the trained folds but one."""
+        rows = [k for k in range(folds + 1) if k not in (0, but)] if len(parts) > 1 else [0]
+        one, zero = [2 * k + 1 for k in rows], [2 * k for k in rows]
+        return tuple(odds(c[one].sum(0), c[zero].sum(0), sizes[one].sum(), sizes[zero].sum()) for c in counts)
+
+    tables = [table(k) for k in range(1, len(parts) + 1)]
+    model.word_odds, model.gram_odds = table(-1)
+    del counts
     p, opt = model.p, Adam(model.p, rate=5e-3)
     spans = np.diff(upto)
 
