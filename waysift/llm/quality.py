@@ -122,9 +122,14 @@ def fit(raw: np.ndarray, offsets: np.ndarray, labels: np.ndarray, at: float = 0.
     if not len(labels) or labels.min() == labels.max():
         model.constant = float(labels.mean()) if len(labels) else 0.5
         return model
-    x, base = passages(raw, offsets)
-    model.mean, model.scale = x.mean(0), 1 / (x.std(0) + 0.02)
-    x = model.scaled(x)
+    parts = [passages(raw[offsets[i] : offsets[min(i + 200, len(labels))]], offsets[i : i + 201] - offsets[i]) for i in range(0, len(labels), 200)]
+    base = np.r_[0, np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))]
+    x = np.concatenate([p for p, _ in parts])
+    del parts
+    model.mean = x.mean(0)
+    model.scale = 1 / (np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - model.mean**2, 0)) + 0.02)
+    x -= model.mean
+    x *= model.scale
     order = rng.permutation(len(labels))
     check, own = order[: len(order) // 5], order[len(order) // 5 :]
     if len(set(labels[check].tolist())) < 2 or len(set(labels[own].tolist())) < 2:
@@ -162,15 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, mod: int, but: int
     return fit(*buffers(got.column("text").combine_chunks()), got.column("label").to_numpy().astype(np.float64), **how)
 
 
-def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score per row, by any model with scores(raw, offsets). No shuffle; the model's size is fixed."""
+def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", also: list[str] = ()) -> DataFrame:
+    """doc_id, score per row, by any model with scores(raw, offsets); with also, the text and these columns too. No shuffle; the model's size is fixed."""
     bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", *(["text", *also] if also else [])]
+    given = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *(df[c] for c in also))
 
     def run(batches: Iterable) -> Iterator:
         for b in batches:
             for i in range(0, b.num_rows, 200):
                 part = b.slice(i, 200)
-                yield pa.record_batch([part.column("doc_id"), pa.array(shared.value.scores(*buffers(part.column("text"))), pa.float64())], names=["doc_id", "score"])
+                yield pa.record_batch([*(part.column(n) for n in names), pa.array(shared.value.scores(*buffers(part.column("text"))), pa.float64())], names=[*names, "score"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", score double")
