@@ -137,16 +137,19 @@ def train(df: DataFrame, keep: Column, id_col: str = "doc_id", text_col: str = "
     return fit(got.column("text").to_pylist(), got.column("lang").to_pylist(), **how)
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (cosine to the nearest centroid), rejected per row. No shuffle; the model's size is fixed."""
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", also: list[str] = ()) -> DataFrame:
+    """doc_id, lang_pred, score (cosine to the nearest centroid), rejected per row; with also, the text and these columns too. No shuffle; the model's size is fixed."""
     bound_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
+    names = ["doc_id", *(["text", *also] if also else [])]
+    given = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *(df[c] for c in also))
 
     def run(batches: Iterable) -> Iterator:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, max(1, len(texts)), 500):
-                lang, score, out = shared.value.predict(texts[i : i + 500])
-                yield pa.record_batch([b.column("doc_id")[i : i + 500], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                lang, score, out = shared.value.predict(part.column("text").to_pylist())
+                yield pa.record_batch([*(part.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(out, pa.bool_())], names=[*names, "lang_pred", "score", "rejected"])
 
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    kinds = dict(given.dtypes)
+    return given.mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", lang_pred string, score double, rejected boolean")
