@@ -94,3 +94,60 @@ def infer_edges(events: DataFrame) -> DataFrame:
     src = F.when(F.col("variant") == "Exit", F.coalesce("child", "entry")).otherwise(F.when(F.col("sibling.n").isNotNull(), F.col("sibling")).otherwise(F.col("up")))
     own = own.withColumn("src", src).filter("src.n is not null")
     return own.select("base_id", F.col("src.n").alias("src"), F.col("node_id").alias("dst"), (F.col("ts_ns") - F.col("src.t")).alias("duration_ns"), F.lit("ChildOf").alias("variant"), F.col("node_id").cast("bigint").alias("edge_seq"))
+
+
+def assemble(s: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and traces of spans(): asynchronous sub-traces are joined to the trace that forks them.
+
+    Nodes: base_id (of the outermost trace), own_base, node_id (by time), span_id,
+    parent_span_id, tracepoint, variant, ts_ns, is_synthetic, kv. Edges: base_id, src, dst,
+    duration_ns, variant, edge_seq. Traces: base_id, start_node, end_node, duration_ns.
+    Spans that wait give no node; the node after their end is the waiter. A child
+    annotation gives none either; the node before it forks.
+    """
+    from ..operators.dag import recursive
+
+    forks = s.filter("shape = 'Child'").select("base_id", "child_id", "ord")
+    waits = s.filter("shape = 'WaitFor'").select("base_id", "span_id", "wait_for").distinct()
+    pairs = forks.select(F.col("child_id").alias("own"), F.col("base_id").alias("up")).distinct()
+    tops = s.select("base_id").distinct().join(pairs.select(F.col("own").alias("base_id")), "base_id", "left_anti")
+    root = recursive(
+        s.sparkSession,
+        "WITH RECURSIVE r(own, root) AS (SELECT base_id, base_id FROM {tops} UNION ALL SELECT p.own, r.root FROM r JOIN {pairs} p ON p.up = r.own) SELECT * FROM r",
+        tops=tops,
+        pairs=pairs,
+    )
+    w = Window.partitionBy("base_id").orderBy("ord")
+    marked = s.join(waits.select("base_id", "span_id", F.col("wait_for").alias("waits_for")), ["base_id", "span_id"], "left")
+    is_node = F.col("waits_for").isNull() & F.col("shape").isNotNull() & (F.col("shape") != "Child")
+    marked = marked.withColumn("is_node", is_node)
+    near = marked.withColumn("before", F.last(F.when(F.col("is_node"), F.col("ord")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first(F.when(F.col("is_node"), F.col("ord")), True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    flat = exit_names(marked.filter("is_node")).withColumn("tracepoint", F.col("name")).join(root.select(F.col("own").alias("base_id"), "root"), "base_id")
+    ids = flat.withColumn("node_id", F.row_number().over(Window.partitionBy("root").orderBy("ts_ns", F.when(F.col("base_id") == F.col("root"), 0).otherwise(1), "base_id", "ord")).cast("bigint"))
+    nodes = ids.select(F.col("root").alias("base_id"), F.col("base_id").alias("own_base"), "ord", "node_id", "span_id", "parent_span_id", "tracepoint", "variant", "ts_ns", F.lit(False).alias("is_synthetic"), "kv")
+    # within each sub-trace
+    inner = infer_edges(nodes.select(F.col("own_base").alias("base_id"), F.col("ord").alias("node_id"), "span_id", "parent_span_id", "variant", "ts_ns"))
+    at = nodes.select("base_id", "own_base", "ord", "node_id", "ts_ns")
+    src = at.select(F.col("own_base").alias("b"), F.col("ord").alias("src"), F.col("node_id").alias("s_node"), F.col("ts_ns").alias("s_ts"))
+    dst = at.select(F.col("own_base").alias("b"), F.col("ord").alias("dst"), F.col("node_id").alias("d_node"), "base_id")
+    edges = inner.withColumnRenamed("base_id", "b").join(src, ["b", "src"]).join(dst, ["b", "dst"]).select("base_id", F.col("s_node").alias("src"), F.col("d_node").alias("dst"), "duration_ns", "variant")
+    # between them
+    first = at.groupBy("base_id", "own_base").agg(F.min_by(F.struct("node_id", "ts_ns"), "ord").alias("f"), F.max_by(F.struct("node_id", "ts_ns"), "ord").alias("l"))
+    here = at.select(F.col("own_base").alias("b"), F.col("ord").alias("o"), F.col("node_id").alias("n"), F.col("ts_ns").alias("t"))
+    fork = near.filter("shape = 'Child'").select(F.col("base_id").alias("b"), F.col("before").alias("o"), "child_id").join(here, ["b", "o"]).join(first, F.col("child_id") == F.col("own_base")).select("base_id", F.col("n").alias("src"), F.col("f.node_id").alias("dst"), (F.col("f.ts_ns") - F.col("t")).alias("duration_ns"), F.lit("FollowsFrom").alias("variant"))
+    wait = near.filter("waits_for is not null and variant = 'Exit'").select(F.col("base_id").alias("b"), F.col("after").alias("o"), "waits_for").join(here, ["b", "o"]).join(first, F.col("waits_for") == F.col("own_base")).select("base_id", F.col("l.node_id").alias("src"), F.col("n").alias("dst"), (F.col("t") - F.col("l.ts_ns")).alias("duration_ns"), F.lit("FollowsFrom").alias("variant"))
+    edges = edges.unionByName(fork).unionByName(wait).withColumn("edge_seq", F.row_number().over(Window.partitionBy("base_id").orderBy("dst", "src")).cast("bigint"))
+    start = nodes.filter("own_base = base_id").groupBy("base_id").agg(F.min_by(F.struct("node_id", "ts_ns"), "ord").alias("a"))
+    end = nodes.groupBy("base_id").agg(F.max_by(F.struct("node_id", "ts_ns"), F.struct("ts_ns", -F.col("node_id"))).alias("z"))
+    traces = start.join(end, "base_id").select("base_id", F.col("a.node_id").alias("start_node"), F.col("z.node_id").alias("end_node"), (F.col("z.ts_ns") - F.col("a.ts_ns")).alias("duration_ns"))
+    return nodes.drop("ord"), edges, traces
+
+
+def quarantine(s: DataFrame, raw: DataFrame) -> DataFrame:
+    """base_id, op, reason of what can't be used: unknown shapes, ids that aren't UUIDs, asynchronous marks that aren't annotations, exits before any entry."""
+    bad_shape = s.filter("shape is null").select("base_id", F.lit("spans").alias("op"), F.lit("unknown shape of info").alias("reason"))
+    bad_id = raw.filter(uuid(F.col("base_id")).isNull()).select("base_id", F.lit("spans").alias("op"), F.lit("malformed id").alias("reason"))
+    w = Window.partitionBy("base_id", "span_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    lone = s.withColumn("e", F.max(F.when(F.col("variant") == "Entry", 1).when(F.col("shape").isin("WaitFor", "Args", "WaitForKeyValue"), 1)).over(w)).filter("variant = 'Exit' and e is null").select("base_id", F.lit("names").alias("op"), F.lit("exit without entry").alias("reason"))
+    asynch = s.filter("(name like 'asynch_request%' or name like 'asynch_wait%') and variant = 'Entry'").select("base_id", F.lit("spans").alias("op"), F.lit("asynchronous mark that is no annotation").alias("reason"))
+    return bad_shape.unionByName(bad_id).unionByName(lone).unionByName(asynch).distinct()
