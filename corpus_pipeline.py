@@ -1,4 +1,8 @@
-"""The corpus pipeline: quality, language, near-duplicates, repeated passages, packing."""
+"""The corpus pipeline: quality, language, near-duplicates, repeated passages, packing.
+
+Joins of documents with what an operator found about them are merge joins at every
+size: what was found grows with the documents, so it is never broadcast.
+"""
 
 from __future__ import annotations
 
@@ -27,14 +31,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with a similarity of 0.8 or more on shingles of five words, that with the smallest id stays."""
     kept = table(simhash.similar(docs, size=5, similarity=0.8).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct(), "kept")
-    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    first = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
     return first.select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages of 50 words or more that an earlier document has go; what else a text has stays as it is."""
     found = substrings.dedup(docs).filter("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    cut = docs.select(COLUMNS).join(found, "doc_id", "left")
+    cut = docs.select(COLUMNS).join(found.hint("merge"), "doc_id", "left")
     text = F.coalesce("kept", "text")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
 

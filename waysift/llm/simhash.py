@@ -29,8 +29,8 @@ from .components import components, forest
 BLOCKS, BLOCK_BITS = 4, 16
 #: Node pairs that are walked at once; more are walked in parts. Pairs of nodes with so few leaf pairs are compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 20, 64
-#: For similarity: words of 64 bits in a long fingerprint, keyed tables, and key bits at least.
-LONG, TABLES, KEY_BITS = 8, 40, 16
+#: For similarity: words of 64 bits in a long fingerprint, key bits at least, and the share of pairs right at the similarity that no table brings together.
+LONG, KEY_BITS, MISSED = 8, 12, 0.05
 
 
 def shingle_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def near_duplicates(df: DataFrame, size: int = 3, budget: int = 2, seed: int = 4
     classes = table(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     joined = components(links(classes, budget))
     ends = table(classes.join(joined, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "ends")
-    return prints.join(ends, "fp", "left").select("doc_id", "fp", "component_id")
+    return prints.join(ends.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,8 +165,9 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
     shingle counts, and so the similarity; 512 bits do it to about 0.025. Fingerprints
     meet in keyed tables, each keyed by other bits, walk the tries of the key as
     near_duplicates() does with a wide error budget on the first 64 bits, and are then
-    held against each other in full. Pairs at the similarity meet in some table with a
-    chance of 95 %, pairs at 0.85 of 99 %.
+    held against each other in full. Keys have so many bits that a table's keys hold a
+    few dozen texts each, whatever the number of texts, and the tables are as many as
+    bring pairs at the similarity together with a chance of 95 %, pairs at 0.85 of 99 %.
     """
     bound_batches(df.sparkSession)
 
@@ -176,11 +177,12 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
 
     rows = table(id_text(df, id_col, text_col).mapInArrow(prints, "doc_id long, sign binary"), "signs")
     classes = table(rows.filter("doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("id")), "classes")
-    bits = max(KEY_BITS, int(np.ceil(np.log2(max(2, classes.count())))) - 2)
+    bits = max(KEY_BITS, int(np.ceil(np.log2(max(2, classes.count())))) - 5)
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of differing bits
+    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** bits))))
     spread = np.sqrt(share * (1 - share))
     first, full = share * 64 + 3 * spread * 8, share * 64 * LONG + 1.3 * spread * 8 * np.sqrt(LONG)
-    picks = np.random.default_rng(seed).permuted(np.tile(np.arange(64, 64 * LONG), (TABLES, 1)), axis=1)[:, :bits]
+    picks = np.random.default_rng(seed).permuted(np.tile(np.arange(64, 64 * LONG), (tables, 1)), axis=1)[:, :bits]
 
     def keyed(batches: Iterable) -> Iterator:
         for b in batches:
@@ -188,8 +190,8 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
                 part = b.slice(i, 500)
                 sign = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
                 bit = np.unpackbits(sign, axis=1)[:, picks]  # rows x tables x bits
-                key = (bit.astype(np.int64) << np.arange(bits)).sum(2) * 64 + np.arange(TABLES)
-                at = np.repeat(np.arange(len(sign)), TABLES)
+                key = (bit.astype(np.int64) << np.arange(bits)).sum(2) * 4096 + np.arange(tables)
+                at = np.repeat(np.arange(len(sign)), tables)
                 yield pa.record_batch([pa.array(key.reshape(-1)), part.column("id").take(pa.array(at)), part.column("sign").take(pa.array(at))], names=["key", "id", "sign"])
 
     def meet(batches: Iterable) -> Iterator:
@@ -218,4 +220,4 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
 
     linked = classes.mapInArrow(keyed, "key long, id long, sign binary").repartition("key").mapInArrow(meet, "a long, b long")
     ends = table(classes.join(components(linked), "id", "left").select("sign", F.coalesce("component_id", "id").alias("component_id")), "ends")
-    return rows.join(ends, "sign", "left").select("doc_id", "component_id")
+    return rows.join(ends.hint("merge"), "sign", "left").select("doc_id", "component_id")

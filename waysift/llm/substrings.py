@@ -105,7 +105,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
     own = all_.filter(f"n_words >= {length} and doc_id is not null").join(classes, "digest").filter("doc_id = first")
     nodes = table(own.select("doc_id", F.explode("anchors").alias("anchor")).distinct(), "anchors")
     shared = table(nodes.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "shared")
-    marked = nodes.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    marked = nodes.join(shared.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
     def edges(batches: Iterable) -> Iterator:
         for b in batches:
@@ -119,10 +119,10 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
                 digests.append(hashlib.sha256(w.words(i)).digest())
             yield pa.record_batch([b.column("doc_id"), b.column("text"), pa.array(digests, pa.binary()), _lists(keys, pa.int64()), _lists(places, pa.int32())], names=["doc_id", "text", "digest", "edges", "at"])
 
-    graph = table(docs.join(marked, "doc_id").mapInArrow(edges, "doc_id long, text string, digest binary, edges array<long>, at array<int>"), "graph")
+    graph = table(docs.join(marked.hint("merge"), "doc_id").mapInArrow(edges, "doc_id long, text string, digest binary, edges array<long>, at array<int>"), "graph")
     every = graph.select("doc_id", F.explode(F.arrays_zip("edges", "at")).alias("e")).select("doc_id", F.col("e.edges").alias("edge"), F.col("e.at").alias("at"))
     firsts = table(every.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").select("edge", "source"), "firsts")
-    again = every.join(firsts, "edge").filter("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "edge")).alias("hits"))
+    again = every.join(firsts.hint("merge"), "edge").filter("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "edge")).alias("hits"))
 
     def compact(batches: Iterable) -> Iterator:
         """Paths of consecutive edges with one source."""
@@ -150,7 +150,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
             kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("edge", pa.int64()), ("proof", pa.binary())]))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(out, kind)], names=["doc_id", "digest", "spans"])
 
-    paths = table(graph.select("doc_id", "text", "digest").join(again, "doc_id").mapInArrow(compact, "doc_id long, digest binary, spans array<struct<start long, words long, source long, edge long, proof binary>>"), "paths")
+    paths = table(graph.select("doc_id", "text", "digest").join(again.hint("merge"), "doc_id").mapInArrow(compact, "doc_id long, digest binary, spans array<struct<start long, words long, source long, edge long, proof binary>>"), "paths")
 
     def prove(batches: Iterable) -> Iterator:
         """Which of the spans that are said to begin with an edge of this source are there."""
@@ -173,8 +173,8 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
 
     spans = paths.select("doc_id", "digest", F.explode("spans").alias("s")).select("doc_id", "digest", "s.*")
     asked = spans.select("source", "edge", "words").distinct().groupBy("source").agg(F.collect_list(F.struct("edge", "words")).alias("asked"))
-    proofs = table(graph.select(F.col("doc_id").alias("source"), "text").join(asked, "source").mapInArrow(prove, "source long, edge long, words long, proof binary").distinct(), "proofs")
-    held = spans.join(proofs, ["source", "edge", "words", "proof"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "words", "source"))).alias("spans"))
+    proofs = table(graph.select(F.col("doc_id").alias("source"), "text").join(asked.hint("merge"), "source").mapInArrow(prove, "source long, edge long, words long, proof binary").distinct(), "proofs")
+    held = spans.join(proofs.hint("merge"), ["source", "edge", "words", "proof"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "words", "source"))).alias("spans"))
 
     def remove(batches: Iterable) -> Iterator:
         for b in batches:
@@ -191,7 +191,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
                 kept.append(w.words(i, keep))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), b.column("spans"), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "digest", "spans", "n_removed", "kept"])
 
-    cut = graph.select("doc_id", "text", "digest").join(held, ["doc_id", "digest"]).mapInArrow(remove, "doc_id long, digest binary, spans array<struct<start long, words long, source long>>, n_removed long, kept string")
+    cut = graph.select("doc_id", "text", "digest").join(held.hint("merge"), ["doc_id", "digest"]).mapInArrow(remove, "doc_id long, digest binary, spans array<struct<start long, words long, source long>>, n_removed long, kept string")
     return documents, table(cut, "cut")
 
 
@@ -199,7 +199,7 @@ def dedup(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "doc
     """doc_id, digest, n_words, n_removed, kept (null where all words stay), spans (null likewise, and for copies) per row."""
     documents, cut = repeats(df, length, k, id_col, text_col)
     copy = F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= length), F.lit(False))
-    return documents.join(cut.distinct(), ["doc_id", "digest"], "left").select(
+    return documents.join(cut.distinct().hint("merge"), ["doc_id", "digest"], "left").select(
         "doc_id",
         "digest",
         "n_words",
