@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import buffers
-from .common import bound_batches, id_text, table
+from .common import bound_batches, drop, id_text, table
 from .nn import hashes, word_bounds
 
 LENGTH, KMER = 50, 20
@@ -85,7 +85,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables. Documents: doc_id, n_words, digest (SHA-256 of the words joined by one blank), first (the smallest id with these words). Paths: doc_id, digest, spans (array of start word, words, source id), n_removed, kept (the words that stay, joined by one blank), for documents that aren't copies and share a passage."""
+    """Two tables. Documents: doc_id, n_words, digest (SHA-256 of the words joined by one blank), first (the smallest id with these words). Paths: doc_id, digest, spans (array of start word, words, source id, place there), n_removed, kept (the words that stay, joined by one blank), for documents that aren't copies and share a passage."""
     bound_batches(df.sparkSession)
     docs = id_text(df, id_col, text_col)
 
@@ -121,60 +121,58 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
 
     graph = table(docs.join(marked.hint("merge"), "doc_id").mapInArrow(edges, "doc_id long, text string, digest binary, edges array<long>, at array<int>"), "graph")
     every = graph.select("doc_id", F.explode(F.arrays_zip("edges", "at")).alias("e")).select("doc_id", F.col("e.edges").alias("edge"), F.col("e.at").alias("at"))
-    firsts = table(every.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).filter("source < last").select("edge", "source"), "firsts")
-    again = every.join(firsts.hint("merge"), "edge").filter("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "edge")).alias("hits"))
+    firsts = table(every.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("place")).filter("source < last").select("edge", "source", "place"), "firsts")
+    again = every.join(firsts.hint("merge"), "edge").filter("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "place", "edge")).alias("hits"))
 
     def compact(batches: Iterable) -> Iterator:
-        """Paths of consecutive edges with one source."""
+        """Paths of consecutive edges with consecutive places in one source."""
         for b in batches:
             w = Block(b.column("text"))
             out = []
             for i, hits in enumerate(b.column("hits")):
                 v = hits.values
-                at, source, edge = (v.field(n).to_numpy() for n in ("at", "source", "edge"))
+                at, source, place, edge = (v.field(n).to_numpy() for n in ("at", "source", "place", "edge"))
                 # places that this row's text doesn't have come from another row of its id
                 own = rolled(w.of(i), length).view(np.int64)
                 keep = at < len(own)
                 keep[keep] = own[at[keep]] == edge[keep]
-                order = np.flatnonzero(keep)[np.argsort(at[keep], kind="stable")]
-                at, source, edge = at[order], source[order], edge[order]
-                new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(source) != 0)]) if len(at) else np.zeros(0, np.int64)
+                order = np.flatnonzero(keep)
+                order = order[np.unique(at[order], return_index=True)[1]]
+                at, source, place = at[order], source[order], place[order]
+                new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(source) != 0) | (np.diff(place) != 1)]) if len(at) else np.zeros(0, np.int64)
                 size = np.diff(np.r_[new, len(at)]) + length - 1
                 a = w.starts[w.first[i] : w.first[i + 1]]
                 spans = []
                 for s, n, j in zip(at[new].tolist(), size.tolist(), new.tolist(), strict=True):
                     mine = np.zeros(len(a), bool)
                     mine[s : s + n] = True
-                    spans.append({"start": s, "words": n, "source": int(source[j]), "edge": int(edge[j]), "proof": hashlib.blake2b(w.words(i, mine), digest_size=16).digest()})
+                    spans.append({"start": s, "words": n, "source": int(source[j]), "place": int(place[j]), "proof": hashlib.blake2b(w.words(i, mine), digest_size=16).digest()})
                 out.append(spans)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("edge", pa.int64()), ("proof", pa.binary())]))
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("place", pa.int64()), ("proof", pa.binary())]))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(out, kind)], names=["doc_id", "digest", "spans"])
 
-    paths = table(graph.select("doc_id", "text", "digest").join(again.hint("merge"), "doc_id").mapInArrow(compact, "doc_id long, digest binary, spans array<struct<start long, words long, source long, edge long, proof binary>>"), "paths")
+    paths = table(graph.select("doc_id", "text", "digest").join(again.hint("merge"), "doc_id").mapInArrow(compact, "doc_id long, digest binary, spans array<struct<start long, words long, source long, place long, proof binary>>"), "paths")
 
     def prove(batches: Iterable) -> Iterator:
-        """Which of the spans that are said to begin with an edge of this source are there."""
+        """Digests of the asked words of sources."""
         for b in batches:
             w = Block(b.column("text"))
-            ids, starts, sizes, proofs = [], [], [], []
+            out: tuple[list, ...] = ([], [], [], [])
             for i, (doc, asked) in enumerate(zip(b.column("source").to_pylist(), b.column("asked").to_pylist(), strict=True)):
-                h = rolled(w.of(i), length).view(np.int64)
-                order = np.argsort(h, kind="stable")
                 line = w.words(i)
-                sizes_of = w.ends[w.first[i] : w.first[i + 1]] - w.starts[w.first[i] : w.first[i + 1]]
-                begin = np.r_[0, np.cumsum(sizes_of + 1)]
+                sizes = w.ends[w.first[i] : w.first[i + 1]] - w.starts[w.first[i] : w.first[i + 1]]
+                begin = np.r_[0, np.cumsum(sizes + 1)].tolist()
                 for q in asked:
-                    lo, hi = np.searchsorted(h, [q["edge"]], "left", order)[0], np.searchsorted(h, [q["edge"]], "right", order)[0]
-                    for at in order[lo:hi].tolist():
-                        if at + q["words"] < len(begin):
-                            ids.append(doc), starts.append(q["edge"]), sizes.append(q["words"])
-                            proofs.append(hashlib.blake2b(line[begin[at] : begin[at + q["words"]] - 1], digest_size=16).digest())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(proofs, pa.binary())], names=["source", "edge", "words", "proof"])
+                    a, z = q["place"], q["place"] + q["words"]
+                    if z < len(begin):
+                        for column, x in zip(out, (doc, a, q["words"], hashlib.blake2b(line[begin[a] : begin[z] - 1], digest_size=16).digest()), strict=True):
+                            column.append(x)
+            yield pa.record_batch([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["source", "place", "words", "proof"])
 
     spans = paths.select("doc_id", "digest", F.explode("spans").alias("s")).select("doc_id", "digest", "s.*")
-    asked = spans.select("source", "edge", "words").distinct().groupBy("source").agg(F.collect_list(F.struct("edge", "words")).alias("asked"))
-    proofs = table(graph.select(F.col("doc_id").alias("source"), "text").join(asked.hint("merge"), "source").mapInArrow(prove, "source long, edge long, words long, proof binary").distinct(), "proofs")
-    held = spans.join(proofs.hint("merge"), ["source", "edge", "words", "proof"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "words", "source"))).alias("spans"))
+    asked = spans.select("source", "place", "words").distinct().groupBy("source").agg(F.collect_list(F.struct("place", "words")).alias("asked"))
+    proofs = table(graph.select(F.col("doc_id").alias("source"), "text").join(asked.hint("merge"), "source").mapInArrow(prove, "source long, place long, words long, proof binary").distinct(), "proofs")
+    held = spans.join(proofs.hint("merge"), ["source", "place", "words", "proof"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "words", "source", "place"))).alias("spans"))
 
     def remove(batches: Iterable) -> Iterator:
         for b in batches:
@@ -191,8 +189,10 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
                 kept.append(w.words(i, keep))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), b.column("spans"), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "digest", "spans", "n_removed", "kept"])
 
-    cut = graph.select("doc_id", "text", "digest").join(held.hint("merge"), ["doc_id", "digest"]).mapInArrow(remove, "doc_id long, digest binary, spans array<struct<start long, words long, source long>>, n_removed long, kept string")
-    return documents, table(cut, "cut")
+    cut = graph.select("doc_id", "text", "digest").join(held.hint("merge"), ["doc_id", "digest"]).mapInArrow(remove, "doc_id long, digest binary, spans array<struct<start long, words long, source long, place long>>, n_removed long, kept string")
+    cut = table(cut, "cut")
+    drop([nodes, shared, graph, firsts, paths, proofs])
+    return documents, cut
 
 
 def dedup(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
