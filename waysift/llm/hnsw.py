@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, drop, table
 from .components import components, forest
 
 #: Links of a node, twice as many on the lowest layer; beam while building and searching.
@@ -88,8 +88,9 @@ class Layer:
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
         cand[cand == node[:, None]] = -1
         out = np.full((len(node), self.links), -1, np.int32)
-        for i in range(0, len(node), 512):
-            c, v = cand[i : i + 512], self.x[node[i : i + 512]]
+        step = max(1, min(512, (1 << 16) // cand.shape[1]))  # a popular node may have very many candidates
+        for i in range(0, len(node), step):
+            c, v = cand[i : i + step], self.x[node[i : i + step]]
             sim = np.einsum("ad,akd->ak", v, self.x[c])
             sim[c < 0] = -2
             order = np.argsort(-sim, 1, kind="stable")[:, : 3 * self.links]
@@ -102,7 +103,7 @@ class Layer:
             rank = np.where(keep, 0, 1) + np.where(c >= 0, 0, 2)
             order = np.argsort(rank, 1, kind="stable")[:, : self.links]
             got = np.take_along_axis(c, order, 1)
-            out[i : i + 512, : got.shape[1]] = got
+            out[i : i + step, : got.shape[1]] = got
         return out
 
     def connect(self, node: np.ndarray, cand: np.ndarray) -> None:
@@ -263,6 +264,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     count = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     ends = table(nodes.join(count, "id", "left").join(joined, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "ends")
+    drop([nodes, dealt, graphs, found])
     took = rows.filter("v is not null and vec_id is not null").join(ends, "v").select("vec_id", "n_links", "component_id")
     rest = rows.filter("v is null or vec_id is null").select("vec_id", F.when(F.col("vec_id").isNotNull(), F.lit(0).cast("long")).alias("n_links"), F.col("vec_id").alias("component_id"))
     return took.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))

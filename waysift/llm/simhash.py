@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, table
+from .common import bound_batches, drop, id_text, table
 from .components import components, forest
 
 BLOCKS, BLOCK_BITS = 4, 16
@@ -155,6 +155,7 @@ def near_duplicates(df: DataFrame, size: int = 3, budget: int = 2, seed: int = 4
     classes = table(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")), "classes")
     joined = components(links(classes, budget))
     ends = table(classes.join(joined, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id")), "ends")
+    drop([classes])
     return prints.join(ends.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
@@ -220,4 +221,5 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
 
     linked = classes.mapInArrow(keyed, "key long, id long, sign binary").repartition("key").mapInArrow(meet, "a long, b long")
     ends = table(classes.join(components(linked), "id", "left").select("sign", F.coalesce("component_id", "id").alias("component_id")), "ends")
+    drop([classes])
     return rows.join(ends.hint("merge"), "sign", "left").select("doc_id", "component_id")
