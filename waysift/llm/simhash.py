@@ -159,14 +159,59 @@ def near_duplicates(df: DataFrame, size: int = 3, budget: int = 2, seed: int = 4
     return prints.join(ends.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of links between n nodes, those of a spanning forest of least distances."""
+    order = np.lexsort((b, a, d))
+    a, b = a[order], b[order]
+    root, taken, live = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
+    while len(live):
+        x, y = root[a[live]], root[b[live]]
+        live, x, y = live[x != y], x[x != y], y[x != y]
+        best = np.full(n, len(a))  # each component's first link outwards
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        new = np.unique(best[best < len(a)])
+        taken[new] = True
+        root = forest(n, np.r_[np.arange(n), a[new]], np.r_[root, b[new]])
+    return order[taken]
+
+
+def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, seed: int) -> DataFrame:
+    """Those pairs (a, b) of docs (doc_id, text) whose sets of shingles have that Jaccard similarity at least. Only texts in pairs are looked up."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+    def sets(batches: Iterable) -> Iterator:
+        for b in batches:
+            found = [np.unique(shingle_hashes(t, size, seed).astype(np.uint32)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+
+    known = table(docs.join(ids.hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+    one, two = (known.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}")).hint("merge") for c in "ab")
+
+    def compare(batches: Iterable) -> Iterator:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    out = table(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long"), "similar")
+    drop([known])
+    return out
+
+
 def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id per row: texts link whose shingle sets have about that Jaccard similarity or more.
+    """doc_id, component_id per row: texts link whose shingle sets have that Jaccard similarity or more.
 
     The share of differing bits of two fingerprints estimates the angle between their
     shingle counts, and so the similarity; 512 bits do it to about 0.025. Fingerprints
     meet in keyed tables, each keyed by other bits, walk the tries of the key as
     near_duplicates() does with a wide error budget on the first 64 bits, and are then
-    held against each other in full. Keys have so many bits that a table's keys hold a
+    held against each other in full. A task keeps a spanning forest of the least
+    distances among what is near enough; its links are verified by the texts' shingle
+    sets, so a group holds together by links of at least the similarity. Keys have so many bits that a table's keys hold a
     few dozen texts each, whatever the number of texts, and the tables are as many as
     bring pairs at the similarity together with a chance of 95 %, pairs at 0.85 of 99 %.
     """
@@ -182,7 +227,7 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of differing bits
     tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** bits))))
     spread = np.sqrt(share * (1 - share))
-    first, full = share * 64 + 3 * spread * 8, share * 64 * LONG + 1.3 * spread * 8 * np.sqrt(LONG)
+    first, full = share * 64 + 3 * spread * 8, share * 64 * LONG + 2 * spread * 8 * np.sqrt(LONG)
     picks = np.random.default_rng(seed).permuted(np.tile(np.arange(64, 64 * LONG), (tables, 1)), axis=1)[:, :bits]
 
     def keyed(batches: Iterable) -> Iterator:
@@ -213,13 +258,21 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
             for i, j in trie_pairs(key, fp, int(first)):
                 for k in range(0, len(i), 1 << 18):
                     a, b = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-                    ok = np.bitwise_count(sign[a] ^ sign[b]).sum(1, dtype=np.int64) <= full
+                    d = np.bitwise_count(sign[a] ^ sign[b]).sum(1, dtype=np.int64)
+                    ok = d <= full
                     if ok.any():
-                        yield a[ok], b[ok]
-
-        yield spanning(ids, near())
-
-    linked = classes.mapInArrow(keyed, "key long, id long, sign binary").repartition("key").mapInArrow(meet, "a long, b long")
-    ends = table(classes.join(components(linked), "id", "left").select("sign", F.coalesce("component_id", "id").alias("component_id")), "ends")
-    drop([classes])
+                        yield a[ok], b[ok], d[ok]
+
+        nodes, at = np.unique(ids, return_inverse=True)
+        a = b = d = np.zeros(0, np.int64)
+        for i, j, k in near():
+            a, b, d = np.r_[a, at[i]], np.r_[b, at[j]], np.r_[d, k]
+            keep = nearest_forest(len(nodes), a, b, d)
+            a, b, d = a[keep], b[keep], d[keep]
+        yield pa.record_batch([pa.array(nodes[np.maximum(a, b)]), pa.array(nodes[np.minimum(a, b)])], names=["a", "b"])
+
+    linked = table(classes.mapInArrow(keyed, "key long, id long, sign binary").repartition("key").mapInArrow(meet, "a long, b long").distinct(), "near")
+    links_ = verified(id_text(df, id_col, text_col), linked, size, similarity, seed)
+    ends = table(classes.join(components(links_), "id", "left").select("sign", F.coalesce("component_id", "id").alias("component_id")), "ends")
+    drop([classes, linked, links_])
     return rows.join(ends.hint("merge"), "sign", "left").select("doc_id", "component_id")
