@@ -142,16 +142,20 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
                 new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(source) != 0) | (np.diff(place) != 1)]) if len(at) else np.zeros(0, np.int64)
                 size = np.diff(np.r_[new, len(at)]) + length - 1
                 a = w.starts[w.first[i] : w.first[i + 1]]
-                spans = []
+                spans: dict[tuple, dict] = {}
                 for s, n, j in zip(at[new].tolist(), size.tolist(), new.tolist(), strict=True):
-                    mine = np.zeros(len(a), bool)
-                    mine[s : s + n] = True
-                    spans.append({"start": s, "words": n, "source": int(source[j]), "place": int(place[j]), "proof": hashlib.blake2b(w.words(i, mine), digest_size=16).digest()})
-                out.append(spans)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("source", pa.int64()), ("place", pa.int64()), ("proof", pa.binary())]))
+                    key = int(source[j]), int(place[j]), n
+                    if key in spans:  # the same words again, as where a line repeats
+                        spans[key]["starts"].append(s)
+                    else:
+                        mine = np.zeros(len(a), bool)
+                        mine[s : s + n] = True
+                        spans[key] = {"starts": [s], "words": n, "source": key[0], "place": key[1], "proof": hashlib.blake2b(w.words(i, mine), digest_size=16).digest()}
+                out.append(list(spans.values()))
+            kind = pa.list_(pa.struct([("starts", pa.list_(pa.int64())), ("words", pa.int64()), ("source", pa.int64()), ("place", pa.int64()), ("proof", pa.binary())]))
             yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(out, kind)], names=["doc_id", "digest", "spans"])
 
-    paths = table(graph.select("doc_id", "text", "digest").join(again.hint("merge"), "doc_id").mapInArrow(compact, "doc_id long, digest binary, spans array<struct<start long, words long, source long, place long, proof binary>>"), "paths")
+    paths = table(graph.select("doc_id", "text", "digest").join(again.hint("merge"), "doc_id").mapInArrow(compact, "doc_id long, digest binary, spans array<struct<starts array<long>, words long, source long, place long, proof binary>>"), "paths")
 
     def prove(batches: Iterable) -> Iterator:
         """Digests of the asked words of sources."""
@@ -172,22 +176,25 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
     spans = paths.select("doc_id", "digest", F.explode("spans").alias("s")).select("doc_id", "digest", "s.*")
     asked = spans.select("source", "place", "words").distinct().groupBy("source").agg(F.collect_list(F.struct("place", "words")).alias("asked"))
     proofs = table(graph.select(F.col("doc_id").alias("source"), "text").join(asked.hint("merge"), "source").mapInArrow(prove, "source long, place long, words long, proof binary").distinct(), "proofs")
-    held = spans.join(proofs.hint("merge"), ["source", "place", "words", "proof"]).groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "words", "source", "place"))).alias("spans"))
+    held = spans.join(proofs.hint("merge"), ["source", "place", "words", "proof"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("starts", "words", "source", "place")).alias("spans"))
 
     def remove(batches: Iterable) -> Iterator:
         for b in batches:
             w = Block(b.column("text"))
-            gone, kept = [], []
-            for i, spans in enumerate(b.column("spans")):
+            gone, kept, found = [], [], []
+            for i, held_ in enumerate(b.column("spans").to_pylist()):
+                spans = sorted(({"start": start} | {k: h[k] for k in ("words", "source", "place")} for h in held_ for start in h["starts"]), key=lambda x: x["start"])
                 n = int(w.first[i + 1] - w.first[i])
                 edge = np.zeros(n + 1, np.int64)
-                start, size = (spans.values.field(c).to_numpy() for c in ("start", "words"))
+                start, size = np.array([[x["start"], x["words"]] for x in spans], np.int64).reshape(-1, 2).T
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + size, -1)
                 keep = np.cumsum(edge)[:n] == 0
                 gone.append(n - int(keep.sum()))
                 kept.append(w.words(i, keep))
-            yield pa.record_batch([b.column("doc_id"), b.column("digest"), b.column("spans"), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "digest", "spans", "n_removed", "kept"])
+                found.append(spans)
+            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "words", "source", "place")]))
+            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(found, kind), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "digest", "spans", "n_removed", "kept"])
 
     cut = graph.select("doc_id", "text", "digest").join(held.hint("merge"), ["doc_id", "digest"]).mapInArrow(remove, "doc_id long, digest binary, spans array<struct<start long, words long, source long, place long>>, n_removed long, kept string")
     cut = table(cut, "cut")
