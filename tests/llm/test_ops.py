@@ -147,6 +147,28 @@ def test_similarity_finds_near_copies_and_spares_others(spark):
     assert all(got[i] in (i, c) for i, c in want.items())
 
 
+def single_linkage(rows, similarity=0.8):
+    """Each text's smallest id reachable by links of that similarity, by brute force."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, words(t.lower())) for i, t in rows)}
+    root = {i: i for i in sets}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if j < i and root[i] != root[j] and len(a & b) >= similarity * len(a | b):
+                x, y = sorted((root[i], root[j]))
+                root = {k: x if r == y else r for k, r in root.items()}
+    return root
+
+
+def similar_groups(spark, rows):
+    return dict(tuple(r) for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+
+
+def test_similarity_joins_many_near_copies_of_a_long_text(spark):
+    t = prose(3000, 41)
+    rows = [(k, t if k == 0 else edited(t, 0.0004, k)) for k in range(120)]
+    assert similar_groups(spark, rows) == single_linkage(rows) == {k: 0 for k in range(120)}
+
+
 def test_nearest_forest():
     r = np.random.default_rng(3)
     for _ in range(30):

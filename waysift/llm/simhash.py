@@ -16,7 +16,8 @@ none; other columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from .components import components, forest
 BLOCKS, BLOCK_BITS = 4, 16
 #: Node pairs that are walked at once; more are walked in parts. Pairs of nodes with so few leaf pairs are compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 20, 64
-#: For similarity: words of 64 bits in a long fingerprint, key bits at least, and the share of pairs right at the similarity that no table brings together.
-LONG, KEY_BITS, MISSED = 8, 12, 0.05
+#: For similarity: texts whose shingles are counted, counts that are kept, and how much further apart a round's pairs of a list are than those of the round before.
+ORDERED, USUAL, STEP = 20_000, 1 << 17, 8
+NAMES = ["token", "id", "n", "place", "other"]
 
 
 def shingle_hashes(text: str | None, size: int, seed: int) -> np.ndarray:
@@ -176,103 +178,171 @@ def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.nd
     return order[taken]
 
 
-def verified(docs: DataFrame, pairs: DataFrame, size: int, similarity: float, seed: int) -> DataFrame:
-    """Those pairs (a, b) of docs (doc_id, text) whose sets of shingles have that Jaccard similarity at least. Only texts in pairs are looked up."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def usual(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes, rising, that several of some 20,000 texts have, and in how many. They only order shingles, so the sample bears on work and not on results."""
+    n = max(1, docs.count())
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // ORDERED))) == 0)
+
+    def each(batches: Iterable) -> Iterator:
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(t, size, seed)).view(np.int64))], names=["h"])
+
+    top = some.mapInArrow(each, "h long").groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(USUAL).toArrow()
+    h, count = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], count[order]
+
+
+def prefixes(docs: DataFrame, size: int, similarity: float, seed: int) -> DataFrame:
+    """token, id, n, place: of each text's n shingles, rarest first, so many that two texts of that Jaccard similarity share one of them."""
+    known, times = usual(docs, size, seed)
+
+    def run(batches: Iterable) -> Iterator:
+        for b in batches:
+            for i in range(0, b.num_rows, 100):
+                part = b.slice(i, 100)
+                rows: list[np.ndarray] = []
+                counts = []
+                for t in part.column("text").to_pylist():
+                    h = np.unique(shingle_hashes(t, size, seed))
+                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                    seen = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                    k = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                    rows.append(h[np.lexsort((h, seen))[:k]])
+                    counts.append(len(h))
+                m = [len(r) for r in rows]
+                token = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
+                place = np.concatenate([*(np.arange(k) for k in m), np.zeros(0, np.int64)])
+                yield pa.record_batch([pa.array(token), part.column("doc_id").take(pa.array(np.repeat(np.arange(len(m)), m))), pa.array(np.repeat(counts, m), pa.int32()), pa.array(place, pa.int32())], names=["token", "id", "n", "place"])
+
+    return docs.mapInArrow(run, "token long, id long, n int, place int")
+
+
+def listed_pairs(token: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, group: np.ndarray, low: int, high: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of pairs of one token, low to under high places apart in its list, of unequal groups, which may reach the similarity if the token is the first they share. All are sorted by token, then id."""
+    for gap in range(low, high):
+        i = np.flatnonzero(token[gap:] == token[:-gap])
+        if not len(i):
+            return
+        i = i[(group[i] != group[i + gap]) & (ids[i] != ids[i + gap])]
+        j = i + gap
+        both = np.minimum(n[i] - place[i], n[j] - place[j])
+        ok = both * (1 + similarity) >= similarity * (n[i].astype(np.int64) + n[j]) - 1e-6
+        yield i[ok], j[ok]
+
+
+def shingle_sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """doc_id, shingles: the set's hashes, rising."""
 
     def sets(batches: Iterable) -> Iterator:
         for b in batches:
             found = [np.unique(shingle_hashes(t, size, seed).astype(np.uint32)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
 
-    known = table(docs.join(ids.hint("merge"), "doc_id").mapInArrow(sets, "doc_id long, shingles binary"), "shingles")
+    return docs.mapInArrow(sets, "doc_id long, shingles binary")
+
+
+def verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of known (doc_id, shingles) whose sets of shingles have that Jaccard similarity at least."""
     one, two = (known.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}")).hint("merge") for c in "ab")
 
     def compare(batches: Iterable) -> Iterator:
         for b in batches:
             keep = []
-            for x, y in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            for x, y in zip(b.column("of_a"), b.column("of_b"), strict=True):  # without copies: sets of long texts are large
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    out = table(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long"), "similar")
-    drop([known])
-    return out
+    return table(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long"), "similar")
 
 
 def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id per row: texts link whose shingle sets have that Jaccard similarity or more.
-
-    The share of differing bits of two fingerprints estimates the angle between their
-    shingle counts, and so the similarity; 512 bits do it to about 0.025. Fingerprints
-    meet in keyed tables, each keyed by other bits, walk the tries of the key as
-    near_duplicates() does with a wide error budget on the first 64 bits, and are then
-    held against each other in full. A task keeps a spanning forest of the least
-    distances among what is near enough; its links are verified by the texts' shingle
-    sets, so a group holds together by links of at least the similarity. Keys have so many bits that a table's keys hold a
-    few dozen texts each, whatever the number of texts, and the tables are as many as
-    bring pairs at the similarity together with a chance of 95 %, pairs at 0.85 of 99 %.
+    """doc_id, component_id per row: texts link whose shingle sets have that Jaccard similarity or more. No link is lost.
+
+    Texts of equal sets, told by a digest, are one class. Of each class so many of its
+    rarest shingles are listed that similar ones share a listed one. Pairs of a list are
+    held against each other by their sets: first neighbours, then those further apart,
+    up to the list's length, each pair only if what was verified before does not join
+    its two texts already. So a large group of near copies costs few comparisons a
+    text, and a rejected pair takes no other pair's place.
     """
     bound_batches(df.sparkSession)
+    docs = id_text(df, id_col, text_col)
 
-    def prints(batches: Iterable) -> Iterator:
+    def digests(batches: Iterable) -> Iterator:
         for b in batches:
-            yield pa.record_batch([b.column("doc_id"), pa.array([majority(shingle_hashes(t, size, seed), LONG) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "sign"])
-
-    rows = table(id_text(df, id_col, text_col).mapInArrow(prints, "doc_id long, sign binary"), "signs")
-    classes = table(rows.filter("doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("id")), "classes")
-    bits = max(KEY_BITS, int(np.ceil(np.log2(max(2, classes.count())))) - 5)
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi  # of differing bits
-    tables = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - share) ** bits))))
-    spread = np.sqrt(share * (1 - share))
-    first, full = share * 64 + 3 * spread * 8, share * 64 * LONG + 2 * spread * 8 * np.sqrt(LONG)
-    picks = np.random.default_rng(seed).permuted(np.tile(np.arange(64, 64 * LONG), (tables, 1)), axis=1)[:, :bits]
-
-    def keyed(batches: Iterable) -> Iterator:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                sign = np.frombuffer(b"".join(part.column("sign").to_pylist()), np.uint8).reshape(-1, 8 * LONG)
-                bit = np.unpackbits(sign, axis=1)[:, picks]  # rows x tables x bits
-                key = (bit.astype(np.int64) << np.arange(bits)).sum(2) * 4096 + np.arange(tables)
-                at = np.repeat(np.arange(len(sign)), tables)
-                yield pa.record_batch([pa.array(key.reshape(-1)), part.column("id").take(pa.array(at)), part.column("sign").take(pa.array(at))], names=["key", "id", "sign"])
-
-    def meet(batches: Iterable) -> Iterator:
-        got = [(b.column("key").to_numpy(), b.column("id").to_numpy(), np.frombuffer(b"".join(b.column("sign").to_pylist()), ">u8").reshape(-1, LONG)) for b in batches if b.num_rows]
-        if not got:
-            return
-        key, ids, sign = (np.concatenate(x) for x in zip(*got, strict=True))
-        del got
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        keep = np.flatnonzero(count[inverse] > 1)
-        keep = keep[np.lexsort((sign[keep, 0], key[keep]))]
-        key, ids, sign = key[keep], ids[keep], sign[keep].astype(np.uint64)
-        if not len(key):
-            return
-
-        def near() -> Iterator:
-            fp = np.ascontiguousarray(sign[:, 0])
-            for i, j in trie_pairs(key, fp, int(first)):
-                for k in range(0, len(i), 1 << 18):
-                    a, b = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-                    d = np.bitwise_count(sign[a] ^ sign[b]).sum(1, dtype=np.int64)
-                    ok = d <= full
-                    if ok.any():
-                        yield a[ok], b[ok], d[ok]
-
-        nodes, at = np.unique(ids, return_inverse=True)
-        a = b = d = np.zeros(0, np.int64)
-        for i, j, k in near():
-            a, b, d = np.r_[a, at[i]], np.r_[b, at[j]], np.r_[d, k]
-            keep = nearest_forest(len(nodes), a, b, d)
-            a, b, d = a[keep], b[keep], d[keep]
-        yield pa.record_batch([pa.array(nodes[np.maximum(a, b)]), pa.array(nodes[np.minimum(a, b)])], names=["a", "b"])
-
-    linked = table(classes.mapInArrow(keyed, "key long, id long, sign binary").repartition("key").mapInArrow(meet, "a long, b long").distinct(), "near")
-    links_ = verified(id_text(df, id_col, text_col), linked, size, similarity, seed)
-    ends = table(classes.join(components(links_), "id", "left").select("sign", F.coalesce("component_id", "id").alias("component_id")), "ends")
-    drop([classes, linked, links_])
-    return rows.join(ends.hint("merge"), "sign", "left").select("doc_id", "component_id")
+            found = [blake2b(np.unique(shingle_hashes(t, size, seed)).tobytes(), digest_size=16).digest() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "digest"])
+
+    rows = table(docs.mapInArrow(digests, "doc_id long, digest binary"), "digests")
+    classes = table(rows.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    of_class = table(docs.join(classes.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id"), "texts")
+
+    def meet(low: int, high: int) -> Callable:
+        def run(batches: Iterable) -> Iterator:
+            """Pairs (id, other), and with other null the lists that later rounds need."""
+            got = [[b.column(c).to_numpy() for c in ("token", "id", "n", "place", "group")] for b in batches if b.num_rows]
+            if not got:
+                return
+            token, ids, n, place, group = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
+            order = np.lexsort((place, n, ids, token))  # the same in each round
+            token, ids, n, place, group = (x[order] for x in (token, ids, n, place, group))
+
+            def only(keep: np.ndarray) -> None:
+                nonlocal token, ids, n, place, group
+                token, ids, n, place, group = (x[keep] for x in (token, ids, n, place, group))
+
+            _, at, count = np.unique(token, return_inverse=True, return_counts=True)
+            split = np.zeros(len(count), bool)
+            split[at[1:][(token[1:] == token[:-1]) & (group[1:] != group[:-1])]] = True
+            only((split & (count > low))[at])
+            seen = np.zeros((0, 2), np.int64)
+            for i, j in listed_pairs(token, ids, n, place, group, low, high, similarity):
+                seen = np.r_[seen, np.stack((ids[i], ids[j]), 1)]
+                if len(seen) > FRONTIER:
+                    seen = np.unique(seen, axis=0)
+                    if len(seen) > FRONTIER // 2:
+                        yield out(seen)
+                        seen = seen[:0]
+            yield out(np.unique(seen, axis=0))
+            _, at, count = np.unique(token, return_inverse=True, return_counts=True)
+            only((count > (1 if low == 1 else high))[at])  # the first round's tell which sets are needed
+            for k in range(0, len(token), 1 << 16):
+                s = slice(k, k + (1 << 16))
+                yield pa.record_batch([pa.array(x[s]) for x in (token, ids, n, place)] + [pa.nulls(len(token[s]), pa.int64())], names=NAMES)
+
+        def out(pairs: np.ndarray) -> pa.RecordBatch:
+            m = len(pairs)
+            return pa.record_batch([pa.nulls(m, pa.int64()), pa.array(pairs[:, 0]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(pairs[:, 1])], names=NAMES)
+
+        return run
+
+    posts = prefixes(of_class, size, similarity, seed).withColumn("group", F.col("id"))
+    low, high, joined, known = 1, 2, None, None
+    old: list[DataFrame] = []
+    while True:
+        met = table(posts.repartition("token").mapInArrow(meet(low, high), "token long, id long, n int, place int, other long"), "met")
+        drop(old)
+        old = [met]
+        lists = met.filter("other is null").select("token", "id", "n", "place")
+        if known is None:
+            used = lists.select(F.col("id").alias("doc_id")).distinct()
+            known = table(shingle_sets(of_class.join(used.hint("merge"), "doc_id"), size, seed), "shingles")
+            drop([of_class])
+        new = verified(known, met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), similarity)
+        if joined is None or not new.isEmpty():
+            both = new if joined is None else new.unionByName(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
+            before, joined = joined, table(components(both), "joined")
+            drop([before] if before is not None else [])
+        drop([new])
+        low, high = high, high * STEP
+        if lists.isEmpty():
+            break
+        posts = lists.join(joined.hint("merge"), "id", "left").select("token", "id", "n", "place", F.coalesce("component_id", "id").alias("group"))
+    ends = table(classes.join(joined, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id")), "ends")
+    drop([classes, known, joined, *old])
+    return rows.join(ends.hint("merge"), "digest", "left").select("doc_id", "component_id")
