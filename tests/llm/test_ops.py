@@ -169,6 +169,15 @@ def test_similarity_joins_many_near_copies_of_a_long_text(spark):
     assert similar_groups(spark, rows) == single_linkage(rows) == {k: 0 for k in range(120)}
 
 
+def test_similarity_puts_others_in_a_rejected_pairs_place(spark):
+    rows = []
+    for g in range(12):  # groups whose pairs lie on both sides of 0.8
+        t = prose(220, 5100 + g)
+        rows += [(100 * g + k, edited(t, 0.005 + 0.004 * (k % 6), 31 * g + k)) for k in range(14)]
+    want = single_linkage(rows)
+    assert similar_groups(spark, rows) == want and 12 < len(set(want.values())) < len(rows)
+
+
 def test_nearest_forest():
     r = np.random.default_rng(3)
     for _ in range(30):
