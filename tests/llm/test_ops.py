@@ -178,6 +178,14 @@ def test_similarity_puts_others_in_a_rejected_pairs_place(spark):
     assert similar_groups(spark, rows) == want and 12 < len(set(want.values())) < len(rows)
 
 
+def test_similarity_is_of_sets(spark):
+    passage, t = prose(100, 77) + " ", prose(200, 78)
+    rows = [(k, passage * 300 + prose(50, 600 + k)) for k in range(6)]
+    rows += [(10, t), (11, t + (" " + prose(10, 79)) * 200), (12, "x " * 5000 + prose(60, 80)), (13, "x " * 5000 + prose(60, 81))]
+    want = single_linkage(rows)
+    assert similar_groups(spark, rows) == want and want[11] == 10 and len(set(want.values())) == len(rows) - 1
+
+
 def test_nearest_forest():
     r = np.random.default_rng(3)
     for _ in range(30):
