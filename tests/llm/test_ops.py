@@ -186,6 +186,15 @@ def test_similarity_is_of_sets(spark):
     assert similar_groups(spark, rows) == want and want[11] == 10 and len(set(want.values())) == len(rows) - 1
 
 
+def test_similarity_loses_no_pair_from_the_threshold_on(spark):
+    rows = []
+    for k in range(150):
+        t = prose(120, 9100 + k)
+        rows += [(2 * k, t), (2 * k + 1, edited(t, 0.021, k))]
+    want = single_linkage(rows)
+    assert similar_groups(spark, rows) == want and 40 < sum(want[i] != i for i in want) < 150
+
+
 def test_nearest_forest():
     r = np.random.default_rng(3)
     for _ in range(30):
