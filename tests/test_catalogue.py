@@ -59,3 +59,11 @@ def test_groups_combine_before_the_shuffle(spark):
 def test_top_n_is_no_full_sort(spark):
     c = spark.range(100).selectExpr("id as priority", "cast(id as string) as tracepoint")
     assert "TakeOrderedAndProject" in plan(control.greedy_budget(c))
+
+
+def test_event_id_to_uuid_takes_every_id(spark, tmp_path):
+    from waysift.plans import catalogue
+
+    spark.createDataFrame([(7,), (65536,), (2**40 + 5,)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.id: r.uuid for r in catalogue.event_id_to_uuid(spark, str(tmp_path)).collect()}
+    assert set(got) == {"7", "65536", str(2**40 + 5)} and len(set(got.values())) == 3 and all(len(u) == 36 for u in got.values())

@@ -497,5 +497,5 @@ def hexid_to_uuid(spark, d):
 
 @query("c AS (SELECT 1) SELECT user_id::VARCHAR AS id, '00000000-0000-' || substr(lpad(lower(printf('%x', user_id)), 16, '0'), 13, 4) || '-0000-000000000000' AS uuid FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 65536)")
 def event_id_to_uuid(spark, d):
-    ids = derived.table(spark, d, "events").filter("user_id < 65536").select(F.col("user_id").cast("string").alias("id")).distinct()
+    ids = derived.table(spark, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
     return ids.select("id", fn.event_uuid(F.col("id")).alias("uuid"))
