@@ -30,9 +30,7 @@ from .common import bound_batches, id_text
 
 SIZE = 1024
 #: What a cut costs, in tokens of padding, at a sentence's end and elsewhere.
-SENTENCE, TORN = 1, 4
-#: Of the sentences' ends in each so many tokens, the last is a possible cut.
-GRAIN = 32
+SENTENCE, TORN = 1, 8
 #: Tokens that are solved at a time at least.
 BLOCK = 1 << 18
 
@@ -76,27 +74,40 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return _tokenizers[path, pattern]
 
 
-def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE, sentence: float = SENTENCE, torn: float = TORN) -> list[int]:
-    """Ends of the windows of least cost over a stream of n tokens. Possible cuts: documents' and sentences' ends, the stream's end, and a whole window after each of these, or several where no other cut is in reach. A window of a power of two tokens costs no padding from a quarter of size up."""
-    soft = np.union1d(np.union1d(doc_ends, sentence_ends), [0, n])
+def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE, sentence: float = SENTENCE, torn: float = TORN, exact_from: int | None = None) -> list[int]:
+    """Ends of the windows of least cost over a stream of n tokens. Possible cuts: documents' and sentences' ends, the stream's end, and a whole window after each of these, or several where no other cut is in reach. A window of a power of two tokens costs no padding from exact_from up, or else a quarter of size."""
+    fees = np.full(n + 1, float(torn))
+    fees[sentence_ends] = sentence
+    fees[doc_ends] = 0
+    fees[[0, n]] = 0
+    soft_here = np.zeros(n + 1, bool)
+    for x in (sentence_ends, doc_ends, [0, n]):
+        soft_here[x] = True
+    soft = np.flatnonzero(soft_here)
     gap = np.diff(soft)
     steps = np.maximum(1, (gap - 1) // size)
     base = np.repeat(soft[:-1], steps)
     whole = base + size * (1 + np.arange(len(base)) - np.repeat(np.cumsum(steps) - steps, steps))
-    at = np.union1d(soft, whole[whole < n])
-    price = np.full(len(at), float(torn))
-    price[np.searchsorted(at, sentence_ends)] = sentence
-    price[np.searchsorted(at, np.r_[doc_ends, 0, n])] = 0
-    is_soft = np.zeros(len(at), bool)
-    is_soft[np.searchsorted(at, soft)] = True
+    here = soft_here.copy()
+    here[whole[whole < n]] = True
+    at = np.flatnonzero(here)
+    number = np.full(n + 1, -1)  # of the cut at a place
+    number[at] = np.arange(len(at))
+    price, is_soft = fees[at], soft_here[at]
     exact: dict[int, list[int]] = {}  # cuts a power of two before a soft cut
-    w = max(1, size // 4)
+    own = number[soft]
+    w = max(1, size // 4 if exact_from is None else exact_from)
+    w = 1 << (w - 1).bit_length()
     while w <= size:
-        j = np.minimum(np.searchsorted(at, at - w), len(at) - 1)
-        for k, f in zip(*((x[is_soft & (at[j] == at - w)]).tolist() for x in (np.arange(len(at)), j)), strict=True):
-            exact.setdefault(k, []).append(f)
+        j = number[np.maximum(soft - w, 0)]
+        ok = (j >= 0) & (soft >= w)
+        for k, f in zip(own[ok].tolist(), j[ok].tolist(), strict=True):
+            if k in exact:
+                exact[k].append(f)
+            else:
+                exact[k] = [f]
         w *= 2
-    before = np.searchsorted(at, at - size).tolist()
+    before = number[np.maximum(at - size, 0)].tolist()
     cost, came, pos, fee, soft_at = [0.0], [0], at.tolist(), price.tolist(), is_soft.tolist()
     queue, least, head = [-1, 0], [float("-inf"), 0.0], 1  # cuts with their cost + position, rising in both, after a stop
     for k in range(1, len(pos)):
@@ -146,8 +157,7 @@ class Packer:
         n, sizes = len(self.ids), np.array([d[2] for d in self.docs], np.int64)
         upto = np.cumsum(sizes)
         where = np.flatnonzero(self.ends[self.ids]) + 1
-        where = where[np.r_[where[1:] // GRAIN != where[:-1] // GRAIN, True]] if len(where) else where
-        ends = cuts(n, upto, where, self.size, self.sentence, self.torn) if n else []
+        ends = cuts(n, upto, where, self.size, self.sentence, self.torn, 1) if n else []
         if not last:
             ends = ends[: max(0, len(ends) - 2)]
         done = ends[-1] if ends else 0
