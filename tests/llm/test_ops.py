@@ -195,21 +195,6 @@ def test_similarity_loses_no_pair_from_the_threshold_on(spark):
     assert similar_groups(spark, rows) == want and 40 < sum(want[i] != i for i in want) < 150
 
 
-def test_nearest_forest():
-    r = np.random.default_rng(3)
-    for _ in range(30):
-        n, m = 12, 40
-        a, b, d = r.integers(0, n, m), r.integers(0, n, m), r.integers(0, 20, m)
-        keep = simhash.nearest_forest(n, a, b, d)
-        root, total, count = list(range(n)), 0, 0
-        for k in np.lexsort((b, a, d)):
-            x, y = root[a[k]], root[b[k]]
-            if x != y:
-                root = [x if z == y else z for z in root]
-                total, count = total + d[k], count + 1
-        assert len(keep) == count and d[keep].sum() == total
-
-
 def brute_removed(rows, length):
     first, out = {}, []
     rows = [(i, words(t)) for i, t in rows]

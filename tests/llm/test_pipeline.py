@@ -67,12 +67,13 @@ def test_stages(spark, corpus, tmp_path):
 
     sets = {r.doc_id: shingles(r.text) for r in made[2][0].collect()}
     kept = ids[2][1]
+    root = {i: i for i in sets}
     for i, s in sets.items():
-        near = {j: jaccard(s, t) for j, t in sets.items() if j < i}
-        if max(near.values(), default=0) >= 0.88:
-            assert i not in kept, i
-        elif max(near.values(), default=0) < 0.6:
-            assert i in kept, i
+        for j, t in sets.items():
+            if j < i and root[i] != root[j] and jaccard(s, t) >= 0.8:
+                x, y = sorted((root[i], root[j]))
+                root = {k: x if r == y else r for k, r in root.items()}
+    assert kept == set(root.values())
 
     given, out = made[3]
     want = {i: removed for i, _, removed, _ in brute_removed([(r.doc_id, r.text) for r in given.collect()], 50)}
@@ -94,6 +95,18 @@ def test_stages(spark, corpus, tmp_path):
     assert whole.max() <= 1024
 
 
+def test_rows_of_one_id_and_without_id(spark, corpus):
+    folder, _ = corpus
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    passage, near = prose(90, 4242), prose(200, 4243)
+    rows = [(1, prose(50, 1) + " " + passage, "en", "a", 0), (5, prose(40, 2) + " " + passage, "en", "b", 0), (5, "totally different text here", "en", "c", 4), (6, passage + " " + prose(30, 3), "en", "d", 0), (6, passage + " " + prose(30, 3), "en", "e", 0)]
+    got = corpus_pipeline.substring_stage(spark, spark.createDataFrame(rows, schema), folder).collect()
+    assert sorted((r.doc_id, r.text, r.source) for r in got) == sorted([(1, rows[0][1], "a"), (5, prose(40, 2), "b"), (5, rows[2][1], "c"), (6, prose(30, 3), "d"), (6, prose(30, 3), "e")])
+    rows = [(7, near, "en", "a", 0), (7, near, "en", "a", 0), (7, prose(150, 9), "en", "b", 0), (None, edited(near, 0.004, 1), "en", "c", 0), (None, prose(120, 12), "en", "d", 0), (None, prose(120, 12), "en", "d", 0), (3, edited(near, 0.004, 2), "en", "e", 0), (None, None, None, None, None), (9, "", "en", "f", 0)]
+    got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, schema).repartition(2), folder).collect()
+    assert sorted((str(r.doc_id), r.source) for r in got) == sorted([("3", "e"), ("7", "b"), ("None", "d"), ("9", "f")])
+
+
 def test_run(spark, corpus):
     got = corpus_pipeline.run(spark, corpus[0])
     assert {"doc_id", "sequence_id", "ids_crc32"} <= set(got.columns) and got.count() > 100

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text
+from .common import bound_batches, id_text, sliced
 
 #: The bound of what a Python worker remembers between batches, in words and chunks; beyond it starts anew.
 KEPT = 600_000
@@ -331,6 +331,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """A row per document: doc_id, ids (binary: little-endian unsigned 32-bit integers, as token files hold them). No shuffle. ranks_path is a file that every executor has."""
     bound_batches(df.sparkSession)
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         e = encoder(ranks_path, pattern)
         for b in batches:
@@ -344,6 +345,7 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """A row per row of encode(): doc_id, ids, decoded (binary: the bytes that the ids stand for; null ids: empty). An id that the ranks don't have is an error."""
     bound_batches(df.sparkSession)
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         data, starts, sizes = token_bytes(ranks_path)
         for b in batches:

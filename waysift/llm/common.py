@@ -3,22 +3,62 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch for the Python operators. Spark's default of 10,000 rows of long texts is too much memory.
-BATCH_ROWS = 1000
+#: Rows in an Arrow batch for the Python operators, and bytes that an operator works on at once. Spark's default of 10,000 rows of long texts is too much memory.
+BATCH_ROWS, SLICE_BYTES = 1000, 1 << 21
+_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bound_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches, unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(_KEY, "10000")) <= BATCH_ROWS:
+        spark.conf.set(_KEY, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Smaller Arrow batches for plans that run inside."""
+    was = spark.conf.get(_KEY, "10000")
+    spark.conf.set(_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_KEY, was)
+
+
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    if b.num_rows < 2 or b.nbytes <= SLICE_BYTES:
+        yield b
+    else:
+        half = b.num_rows // 2
+        yield from _slices(b.slice(0, half))
+        yield from _slices(b.slice(half))
+
+
+def sliced(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow() that gets its batches in slices of SLICE_BYTES, a row at least, and gives free memory back when its task is done."""
+
+    @functools.wraps(run)
+    def go(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(s for b in batches for s in _slices(b))
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no such call in this C library
+            return
+
+    return go
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,6 +116,8 @@ def drop(tables: list[DataFrame]) -> None:
 
 
 def training_sample(labelled: DataFrame, docs: DataFrame, n: int, max_chars: int = 1 << 15):
-    """A bounded sample to fit a classifier on, as an Arrow table sorted by doc_id: texts of at most max_chars characters of the n labelled rows that come first by a hash of the id. labelled: doc_id and labels; docs: doc_id, text. The picked ids are at most n rows, so they are broadcast."""
+    """A bounded sample to fit a classifier on, as an Arrow table sorted by doc_id: the n labelled rows that come first by a hash of the id, each with a passage of its text. labelled: doc_id and labels; docs: doc_id, text. A text of over max_chars characters gives max_chars of them, from a place that its id's hash picks, so long texts count however many they are. The picked ids are at most n rows, so they are broadcast."""
     picked = labelled.filter("doc_id is not null").orderBy(F.xxhash64(F.lit(7), "doc_id"), "doc_id").limit(n)
-    return docs.filter(F.length("text") <= max_chars).join(F.broadcast(picked), "doc_id").limit(2 * n).toArrow().sort_by("doc_id")
+    start = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.greatest(F.length("text") - max_chars + 1, F.lit(1))).cast("int") + 1
+    passage = F.when(F.length("text") > max_chars, F.substr("text", start, F.lit(max_chars))).otherwise(F.col("text"))
+    return docs.withColumn("text", passage).join(F.broadcast(picked), "doc_id").limit(2 * n).toArrow().sort_by("doc_id")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop, table
+from .common import bound_batches, drop, sliced, table
 from .components import components, forest
 
 #: Links of a node, twice as many on the lowest layer; beam while building and searching.
@@ -208,6 +208,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     """vec_id, n_links, component_id, kept per row."""
     bound_batches(df.sparkSession)
 
+    @sliced
     def read(batches: Iterable) -> Iterator:
         for b in batches:
             out = []

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text, training_sample
+from .common import bound_batches, id_text, sliced, training_sample
 
 UND = "und"
 #: Hashed n-gram columns, a power of two.
@@ -145,6 +145,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = ["doc_id", *(["text", *also] if also else [])]
     given = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *(df[c] for c in also))
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         for b in batches:
             for i in range(0, b.num_rows, 500):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_text
+from .common import bound_batches, id_text, sliced
 
 WIDTH, HEIGHT, FPS = 16, 12, 25
 FRAME = WIDTH * HEIGHT
@@ -200,6 +200,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     """doc_id, n_bytes (of the text as UTF-8), media (an AVI file that holds it, filled with blanks up to whole frames). No shuffle."""
     bound_batches(df.sparkSession)
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         for b in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
@@ -216,6 +217,7 @@ def clips(df: DataFrame) -> DataFrame:
     bound_batches(df.sparkSession)
     kind = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int64()), ("n_frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         for b in batches:
             parsed = [None if m is None else read_avi(m) for m in b.column("media").to_pylist()]

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import Encoder, MergeReplay, buffers
-from .common import bound_batches, id_text
+from .common import bound_batches, id_text, sliced
 
 SIZE = 1024
 #: What a cut costs, in tokens of padding, at a sentence's end and elsewhere.
@@ -192,6 +192,7 @@ def pack(df: DataFrame, path: str, pattern: str, end_id: int = 0, size: int = SI
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, with_ids: ids (array of int). Each input partition packs its own documents, without a shuffle; its number and the window's make the sequence_id."""
     bound_batches(df.sparkSession)
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         t = tokenizer(path, pattern)
         packer = Packer(TaskContext.get().partitionId() << 40, size, sentence, torn, t.ends)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import buffers
-from .common import bound_batches, fold, id_text, training_sample
+from .common import bound_batches, fold, id_text, sliced, training_sample
 from .nn import Adam, hashes, shift, sigmoid, word_bounds
 
 WORDS = 64
@@ -174,6 +174,7 @@ def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text",
     names = ["doc_id", *(["text", *also] if also else [])]
     given = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *(df[c] for c in also))
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         for b in batches:
             for i in range(0, b.num_rows, 200):

@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, drop, id_text, table
+from .bpe import buffers
+from .common import batches_of, bound_batches, drop, id_text, sliced, table
 from .components import components, forest
+from .nn import hashes, rolled, word_bounds
 
 BLOCKS, BLOCK_BITS = 4, 16
 #: Node pairs that are walked at once; more are walked in parts. Pairs of nodes with so few leaf pairs are compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 20, 64
-#: For similarity: texts whose shingles are counted, counts that are kept, and how much further apart a round's pairs of a list are than those of the round before.
-ORDERED, USUAL, STEP = 20_000, 1 << 17, 8
+#: For similarity: texts whose shingles are counted, counts that are kept, how much further apart a round's pairs of a list are than those of the round before, and pairs of sets in an Arrow batch.
+ORDERED, USUAL, STEP, PAIR_ROWS = 20_000, 1 << 17, 8, 64
 NAMES = ["token", "id", "n", "place", "other"]
 
 
@@ -69,6 +71,7 @@ def fingerprints(df: DataFrame, size: int = 3, seed: int = 42, id_col: str = "do
     """doc_id, fp (the 64 bits as a long) per row. No shuffle."""
     bound_batches(df.sparkSession)
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), pa.array([int.from_bytes(majority(shingle_hashes(t, size, seed)), "big", signed=True) for t in b.column("text").to_pylist()], pa.int64())], names=["doc_id", "fp"])
@@ -125,6 +128,7 @@ def links(classes: DataFrame, budget: int = 2) -> DataFrame:
     keys = [(i, j) for i in range(BLOCKS) for j in range(i)]
     dealt = classes.select("id", "fp", F.explode(F.array(*(F.lit(n << 32).bitwiseOR(F.shiftleft(block[i], BLOCK_BITS)).bitwiseOR(block[j]) for n, (i, j) in enumerate(keys)))).alias("key"))
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         got = [(b.column("key").to_numpy(), b.column("fp").to_numpy(), b.column("id").to_numpy()) for b in batches]
         if not got:
@@ -161,32 +165,25 @@ def near_duplicates(df: DataFrame, size: int = 3, budget: int = 2, seed: int = 4
     return prints.join(ends.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Of links between n nodes, those of a spanning forest of least distances."""
-    order = np.lexsort((b, a, d))
-    a, b = a[order], b[order]
-    root, taken, live = np.arange(n), np.zeros(len(a), bool), np.arange(len(a))
-    while len(live):
-        x, y = root[a[live]], root[b[live]]
-        live, x, y = live[x != y], x[x != y], y[x != y]
-        best = np.full(n, len(a))  # each component's first link outwards
-        np.minimum.at(best, x, live)
-        np.minimum.at(best, y, live)
-        new = np.unique(best[best < len(a)])
-        taken[new] = True
-        root = forest(n, np.r_[np.arange(n), a[new]], np.r_[root, b[new]])
-    return order[taken]
-
-
-def usual(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Each text's set of shingles as rising 64-bit hashes: of size words (lower case), or of all where they are fewer."""
+    raw, offsets = buffers(column)
+    raw = raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)  # A-Z only
+    starts, ends, first = word_bounds(raw, offsets)
+    h = hashes(raw, starts, ends)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        yield np.unique(rolled(h[a:b], min(size, b - a))) if b > a else np.zeros(0, np.uint64)
+
+
+def usual(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes, rising, that several of some 20,000 texts have, and in how many. They only order shingles, so the sample bears on work and not on results."""
     n = max(1, docs.count())
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // ORDERED))) == 0)
 
+    @sliced
     def each(batches: Iterable) -> Iterator:
         for b in batches:
-            for t in b.column("text").to_pylist():
-                yield pa.record_batch([pa.array(np.unique(shingle_hashes(t, size, seed)).view(np.int64))], names=["h"])
+            yield pa.record_batch([pa.array(np.concatenate([*shingle_sets(b.column("text"), size), np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
     top = some.mapInArrow(each, "h long").groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(USUAL).toArrow()
     h, count = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
@@ -194,29 +191,30 @@ def usual(docs: DataFrame, size: int, seed: int) -> tuple[np.ndarray, np.ndarray
     return h[order], count[order]
 
 
-def prefixes(docs: DataFrame, size: int, similarity: float, seed: int) -> DataFrame:
-    """token, id, n, place: of each text's n shingles, rarest first, so many that two texts of that Jaccard similarity share one of them."""
-    known, times = usual(docs, size, seed)
+def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """token, id, n, place, group: of each text's n shingles, rarest first, so many that two texts of that Jaccard similarity share one of them. docs: doc_id, text, group."""
+    known, times = usual(docs, size)
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
-        for b in batches:
-            for i in range(0, b.num_rows, 100):
-                part = b.slice(i, 100)
-                rows: list[np.ndarray] = []
-                counts = []
-                for t in part.column("text").to_pylist():
-                    h = np.unique(shingle_hashes(t, size, seed))
-                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                    seen = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
-                    k = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
-                    rows.append(h[np.lexsort((h, seen))[:k]])
-                    counts.append(len(h))
-                m = [len(r) for r in rows]
-                token = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
-                place = np.concatenate([*(np.arange(k) for k in m), np.zeros(0, np.int64)])
-                yield pa.record_batch([pa.array(token), part.column("doc_id").take(pa.array(np.repeat(np.arange(len(m)), m))), pa.array(np.repeat(counts, m), pa.int32()), pa.array(place, pa.int32())], names=["token", "id", "n", "place"])
-
-    return docs.mapInArrow(run, "token long, id long, n int, place int")
+        for part in batches:
+            rows: list[np.ndarray] = []
+            counts = []
+            for h in shingle_sets(part.column("text"), size):
+                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                seen = np.where(known[at] == h, times[at], 0) if len(known) else np.zeros(len(h), np.int64)
+                k = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+                rows.append(h[np.lexsort((h, seen))[:k]])
+                counts.append(len(h))
+            m = [len(r) for r in rows]
+            token = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
+            place = np.concatenate([*(np.arange(k) for k in m), np.zeros(0, np.int64)])
+            own = pa.array(np.repeat(np.arange(len(m)), m))
+            made = pa.record_batch([pa.array(token), part.column("doc_id").take(own), pa.array(np.repeat(counts, m), pa.int32()), pa.array(place, pa.int32()), part.column("group").take(own)], names=["token", "id", "n", "place", "group"])
+            for i in range(0, made.num_rows, 1 << 17):
+                yield made.slice(i, 1 << 17)
+
+    return docs.select("doc_id", "text", "group").mapInArrow(run, "token long, id long, n int, place int, group long")
 
 
 def listed_pairs(token: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, group: np.ndarray, low: int, high: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -232,55 +230,73 @@ def listed_pairs(token: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.nd
         yield i[ok], j[ok]
 
 
-def shingle_sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
-    """doc_id, shingles: the set's hashes, rising."""
+def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """doc_id, shingles (the set's hashes, rising, as bytes) of the docs in ids (doc_id)."""
 
-    def sets(batches: Iterable) -> Iterator:
+    @sliced
+    def run(batches: Iterable) -> Iterator:
         for b in batches:
-            found = [np.unique(shingle_hashes(t, size, seed).astype(np.uint32)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([h.tobytes() for h in shingle_sets(b.column("text"), size)], pa.binary())], names=["doc_id", "shingles"])
 
-    return docs.mapInArrow(sets, "doc_id long, shingles binary")
+    chosen = docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    return table(chosen.mapInArrow(run, "doc_id long, shingles binary"), "shingles")
 
 
 def verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) of known (doc_id, shingles) whose sets of shingles have that Jaccard similarity at least."""
     one, two = (known.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"of_{c}")).hint("merge") for c in "ab")
 
+    @sliced
     def compare(batches: Iterable) -> Iterator:
         for b in batches:
             keep = []
             for x, y in zip(b.column("of_a"), b.column("of_b"), strict=True):  # without copies: sets of long texts are large
-                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = 0
+                if min(len(x), len(y)) >= similarity * max(len(x), len(y)) - 1e-9:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return table(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long"), "similar")
+    with batches_of(known.sparkSession, PAIR_ROWS):
+        return table(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long"), "similar")
 
 
-def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id per row: texts link whose shingle sets have that Jaccard similarity or more. No link is lost.
 
-    Texts of equal sets, told by a digest, are one class. Of each class so many of its
-    rarest shingles are listed that similar ones share a listed one. Pairs of a list are
-    held against each other by their sets: first neighbours, then those further apart,
-    up to the list's length, each pair only if what was verified before does not join
-    its two texts already. So a large group of near copies costs few comparisons a
-    text, and a rejected pair takes no other pair's place.
+    Texts of equal sets, told by a digest, are one class with one fingerprint. The trie
+    self-join finds the classes whose fingerprints are equal or differ in budget bits;
+    those whose sets prove similar are joined. Fingerprints of similar texts may differ
+    in more bits, so an exact search finds the other links: of each class so many of its
+    rarest shingles are listed that similar ones share a listed one, and pairs of a list
+    are held against each other by their sets, first neighbours, then those further
+    apart, up to the list's length, each pair only if what was verified before does not
+    join its two texts already. So a large group of near copies costs few comparisons a
+    text, and a rejected pair takes no other pair's place. Rows of one id are one text
+    with several sets.
     """
     bound_batches(df.sparkSession)
     docs = id_text(df, id_col, text_col)
 
+    @sliced
     def digests(batches: Iterable) -> Iterator:
         for b in batches:
-            found = [blake2b(np.unique(shingle_hashes(t, size, seed)).tobytes(), digest_size=16).digest() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "digest"])
+            found = [(blake2b(h.tobytes(), digest_size=16).digest(), int.from_bytes(majority(h), "big", signed=True)) for h in shingle_sets(b.column("text"), size)]
+            yield pa.record_batch([b.column("doc_id"), pa.array([d for d, _ in found], pa.binary()), pa.array([f for _, f in found], pa.int64())], names=["doc_id", "digest", "fp"])
 
-    rows = table(docs.mapInArrow(digests, "doc_id long, digest binary"), "digests")
-    classes = table(rows.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    rows = table(docs.mapInArrow(digests, "doc_id long, digest binary, fp long"), "digests")
+    classes = table(rows.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "classes")
     of_class = table(docs.join(classes.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id"), "texts")
 
+    prints = table(classes.groupBy("fp").agg(F.min("id").alias("id")), "prints")
+    equal = classes.select("fp", F.col("id").alias("a")).join(prints.withColumnRenamed("id", "b").hint("merge"), "fp").filter("a != b").select("a", "b")
+    pairs = table(links(prints, budget).unionByName(equal).distinct(), "near")
+    known = sets_of(of_class, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
+    new = verified(known, pairs, similarity)
+    joined = table(components(new), "joined")
+    drop([prints, pairs, known, new])
+
     def meet(low: int, high: int) -> Callable:
         def run(batches: Iterable) -> Iterator:
             """Pairs (id, other), and with other null the lists that later rounds need."""
@@ -291,6 +307,7 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
             del got
             order = np.lexsort((place, n, ids, token))  # the same in each round
             token, ids, n, place, group = (x[order] for x in (token, ids, n, place, group))
+            del order
 
             def only(keep: np.ndarray) -> None:
                 nonlocal token, ids, n, place, group
@@ -310,7 +327,7 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
                         seen = seen[:0]
             yield out(np.unique(seen, axis=0))
             _, at, count = np.unique(token, return_inverse=True, return_counts=True)
-            only((count > (1 if low == 1 else high))[at])  # the first round's tell which sets are needed
+            only((count > high)[at])
             for k in range(0, len(token), 1 << 16):
                 s = slice(k, k + (1 << 16))
                 yield pa.record_batch([pa.array(x[s]) for x in (token, ids, n, place)] + [pa.nulls(len(token[s]), pa.int64())], names=NAMES)
@@ -321,28 +338,28 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, seed: int = 4
 
         return run
 
-    posts = prefixes(of_class, size, similarity, seed).withColumn("group", F.col("id"))
-    low, high, joined, known = 1, 2, None, None
+    grouped = of_class.join(joined.select(F.col("id").alias("doc_id"), F.col("component_id").alias("group")).hint("merge"), "doc_id", "left")
+    posts = prefixes(grouped.withColumn("group", F.coalesce("group", "doc_id")), size, similarity)
+    low, high = 1, 2
     old: list[DataFrame] = []
     while True:
         met = table(posts.repartition("token").mapInArrow(meet(low, high), "token long, id long, n int, place int, other long"), "met")
         drop(old)
         old = [met]
+        pairs = table(met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+        if not pairs.isEmpty():
+            known = sets_of(of_class, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
+            new = verified(known, pairs, similarity)
+            if not new.isEmpty():
+                was, joined = joined, table(components(new.unionByName(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "joined")
+                drop([was])
+            drop([known, new])
+        drop([pairs])
         lists = met.filter("other is null").select("token", "id", "n", "place")
-        if known is None:
-            used = lists.select(F.col("id").alias("doc_id")).distinct()
-            known = table(shingle_sets(of_class.join(used.hint("merge"), "doc_id"), size, seed), "shingles")
-            drop([of_class])
-        new = verified(known, met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), similarity)
-        if joined is None or not new.isEmpty():
-            both = new if joined is None else new.unionByName(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")))
-            before, joined = joined, table(components(both), "joined")
-            drop([before] if before is not None else [])
-        drop([new])
-        low, high = high, high * STEP
         if lists.isEmpty():
             break
+        low, high = high, high * STEP
         posts = lists.join(joined.hint("merge"), "id", "left").select("token", "id", "n", "place", F.coalesce("component_id", "id").alias("group"))
     ends = table(classes.join(joined, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id")), "ends")
-    drop([classes, known, joined, *old])
+    drop([classes, of_class, joined, *old])
     return rows.join(ends.hint("merge"), "digest", "left").select("doc_id", "component_id")

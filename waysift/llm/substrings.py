@@ -26,27 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import buffers
-from .common import bound_batches, drop, id_text, table
-from .nn import hashes, word_bounds
+from .common import bound_batches, drop, id_text, sliced, table
+from .nn import hashes, rolled, word_bounds
 
 LENGTH, KMER = 50, 20
-_STEP = 0xC2B2AE3D27D4EB4F
-_BACK = pow(_STEP, -1, 1 << 64)
-
-
-def rolled(h: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive hashes."""
-    if len(h) < k:
-        return np.zeros(0, np.uint64)
-    power, back = (np.full(len(h) + 1, np.uint64(p)) for p in (_STEP, _BACK))
-    power[0] = back[0] = 1
-    np.cumprod(power, out=power)
-    np.cumprod(back, out=back)
-    sums = np.r_[np.uint64(0), np.cumsum(h * power[:-1])]
-    x = (sums[k:] - sums[:-k]) * back[: len(h) - k + 1]
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return x ^ x >> np.uint64(32)
 
 
 def anchors(h: np.ndarray, length: int, k: int) -> np.ndarray:
@@ -89,6 +72,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
     bound_batches(df.sparkSession)
     docs = id_text(df, id_col, text_col)
 
+    @sliced
     def seen(batches: Iterable) -> Iterator:
         for b in batches:
             w = Block(b.column("text"))
@@ -107,6 +91,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
     shared = table(nodes.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor"), "shared")
     marked = nodes.join(shared.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
 
+    @sliced
     def edges(batches: Iterable) -> Iterator:
         for b in batches:
             w = Block(b.column("text"))
@@ -124,6 +109,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
     firsts = table(every.groupBy("edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("place")).filter("source < last").select("edge", "source", "place"), "firsts")
     again = every.join(firsts.hint("merge"), "edge").filter("source < doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("at", "source", "place", "edge")).alias("hits"))
 
+    @sliced
     def compact(batches: Iterable) -> Iterator:
         """Paths of consecutive edges with consecutive places in one source."""
         for b in batches:
@@ -157,6 +143,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
 
     paths = table(graph.select("doc_id", "text", "digest").join(again.hint("merge"), "doc_id").mapInArrow(compact, "doc_id long, digest binary, spans array<struct<starts array<long>, words long, source long, place long, proof binary>>"), "paths")
 
+    @sliced
     def prove(batches: Iterable) -> Iterator:
         """Digests of the asked words of sources."""
         for b in batches:
@@ -178,6 +165,7 @@ def repeats(df: DataFrame, length: int = LENGTH, k: int = KMER, id_col: str = "d
     proofs = table(graph.select(F.col("doc_id").alias("source"), "text").join(asked.hint("merge"), "source").mapInArrow(prove, "source long, place long, words long, proof binary").distinct(), "proofs")
     held = spans.join(proofs.hint("merge"), ["source", "place", "words", "proof"]).groupBy("doc_id", "digest").agg(F.collect_list(F.struct("starts", "words", "source", "place")).alias("spans"))
 
+    @sliced
     def remove(batches: Iterable) -> Iterator:
         for b in batches:
             w = Block(b.column("text"))

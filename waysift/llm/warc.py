@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, table
+from .common import bound_batches, sliced, table
 
 FILE_IDS, RANGE, FANOUT = 1000, 1 << 16, 16
 #: Fixed value: records don't tell when they were fetched.
@@ -144,6 +144,7 @@ def read_files(stored: DataFrame) -> DataFrame:
     """record_id, file, nth, offset, n_bytes, digest of stored files (file, content), by their bytes; records are known by their ids."""
     bound_batches(stored.sparkSession)
 
+    @sliced
     def run(batches: Iterable) -> Iterator:
         import hashlib
         from collections import Counter
