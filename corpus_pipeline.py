@@ -29,16 +29,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with a similarity of 0.8 or more on shingles of five words, that with the smallest id stays."""
-    kept = table(simhash.similar(docs, size=5, similarity=0.8).filter("doc_id = component_id or doc_id is null").select("doc_id").distinct(), "kept")
-    first = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return first.select(COLUMNS)
+    """Of documents with a similarity of 0.8 or more on shingles of five words one stays: that with the smallest id, of those without id or of one id the first row. Rows have keys of their own here, as ids may repeat or be null."""
+    rows = table(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = simhash.similar(rows, size=5, similarity=0.8, id_col="row").withColumnRenamed("doc_id", "row")
+    ids = rows.select("row", "doc_id").join(found.hint("merge"), "row")
+    first = table(ids.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row"), "first")
+    return rows.join(first.hint("merge"), "row", "left_semi").select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages of 50 words or more that an earlier document has go; what else a text has stays as it is."""
-    found = substrings.dedup(docs).filter("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    cut = docs.select(COLUMNS).join(found.hint("merge"), "doc_id", "left")
+    """Words of passages of 50 words or more that an earlier document has go; what else a text has stays as it is. Rows of one id are told apart by their words."""
+    found = substrings.dedup(docs).filter("n_removed > 0").select("doc_id", "digest", "kept").distinct()
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    cut = docs.select(*COLUMNS, F.unhex(F.sha2(words, 256)).alias("digest")).join(found.hint("merge"), ["doc_id", "digest"], "left")
     text = F.coalesce("kept", "text")
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length(text)).cast("long").alias("n_chars"))
 
