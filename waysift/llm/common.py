@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import zlib
@@ -108,11 +109,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop_named(spark: SparkSession, name: str) -> None:
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # as in _remove()
+        return
+
+
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """As table(), in buckets of key: joins on key shuffle the other side only. It lies in the warehouse, which a cluster shares."""
+    spark = df.sparkSession
+    n, at = int(spark.conf.get("spark.sql.shuffle.partitions")), f"waysift_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).saveAsTable(at)
+    atexit.register(_drop_named, spark, at)
+    return spark.table(at)
+
+
 def drop(tables: list[DataFrame]) -> None:
-    """Removes tables made by table() that no later plan reads."""
+    """Removes tables made by table() or bucketed() that no later plan reads. The driver's heap is collected then, so that Spark removes the shuffle files of plans that are done."""
     for t in tables:
         for f in t.inputFiles()[:1]:
-            _remove(t.sparkSession, f.rsplit("/", 1)[0])
+            folder = f.rsplit("/", 1)[0]
+            last = folder.rsplit("/", 1)[1]
+            if last.startswith("waysift_"):
+                _drop_named(t.sparkSession, last)
+            else:
+                _remove(t.sparkSession, folder)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def training_sample(labelled: DataFrame, docs: DataFrame, n: int, max_chars: int = 1 << 15):

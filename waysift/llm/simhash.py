@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import buffers
-from .common import batches_of, bound_batches, drop, id_text, sliced, table
+from .common import batches_of, bound_batches, bucketed, drop, id_text, sliced, table
 from .components import components, forest
 from .nn import hashes, rolled, word_bounds
 
@@ -238,7 +238,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), pa.array([h.tobytes() for h in shingle_sets(b.column("text"), size)], pa.binary())], names=["doc_id", "shingles"])
 
-    chosen = docs.select("doc_id", "text").join(ids.distinct().hint("merge"), "doc_id", "left_semi")
+    chosen = docs.select("doc_id", "text").join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     return table(chosen.mapInArrow(run, "doc_id long, shingles binary"), "shingles")
 
 
@@ -262,7 +262,7 @@ def verified(known: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
         return table(pairs.join(one, "a").join(two, "b").mapInArrow(compare, "a long, b long"), "similar")
 
 
-def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 2, id_col: str = "doc_id", text_col: str = "text", stored: bool = False) -> DataFrame:
     """doc_id, component_id per row: texts link whose shingle sets have that Jaccard similarity or more. No link is lost.
 
     Texts of equal sets, told by a digest, are one class with one fingerprint. The trie
@@ -274,10 +274,12 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
     apart, up to the list's length, each pair only if what was verified before does not
     join its two texts already. So a large group of near copies costs few comparisons a
     text, and a rejected pair takes no other pair's place. Rows of one id are one text
-    with several sets.
+    with several sets. stored: df is a table, in buckets of its ids at best, and is read
+    in place; else its ids and texts are stored so.
     """
     bound_batches(df.sparkSession)
     docs = id_text(df, id_col, text_col)
+    docs = docs if stored else bucketed(docs, "doc_id", "texts")
 
     @sliced
     def digests(batches: Iterable) -> Iterator:
@@ -287,12 +289,11 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
 
     rows = table(docs.mapInArrow(digests, "doc_id long, digest binary, fp long"), "digests")
     classes = table(rows.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "classes")
-    of_class = table(docs.join(classes.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id"), "texts")
-
+    of_class = docs.join(classes.select(F.col("id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
     prints = table(classes.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     equal = classes.select("fp", F.col("id").alias("a")).join(prints.withColumnRenamed("id", "b").hint("merge"), "fp").filter("a != b").select("a", "b")
     pairs = table(links(prints, budget).unionByName(equal).distinct(), "near")
-    known = sets_of(of_class, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
+    known = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
     new = verified(known, pairs, similarity)
     joined = table(components(new), "joined")
     drop([prints, pairs, known, new])
@@ -338,7 +339,7 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
 
         return run
 
-    grouped = of_class.join(joined.select(F.col("id").alias("doc_id"), F.col("component_id").alias("group")).hint("merge"), "doc_id", "left")
+    grouped = of_class.join(joined.select(F.col("id").alias("doc_id"), F.col("component_id").alias("group")).hint("shuffle_hash"), "doc_id", "left")
     posts = prefixes(grouped.withColumn("group", F.coalesce("group", "doc_id")), size, similarity)
     low, high = 1, 2
     old: list[DataFrame] = []
@@ -348,7 +349,7 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
         old = [met]
         pairs = table(met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
-            known = sets_of(of_class, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
+            known = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), size)
             new = verified(known, pairs, similarity)
             if not new.isEmpty():
                 was, joined = joined, table(components(new.unionByName(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "joined")
@@ -361,5 +362,5 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
         low, high = high, high * STEP
         posts = lists.join(joined.hint("merge"), "id", "left").select("token", "id", "n", "place", F.coalesce("component_id", "id").alias("group"))
     ends = table(classes.join(joined, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id")), "ends")
-    drop([classes, of_class, joined, *old])
+    drop([classes, joined, *old] + ([] if stored else [docs]))
     return rows.join(ends.hint("merge"), "digest", "left").select("doc_id", "component_id")
