@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waysift.llm import langid, packing, quality, simhash, substrings
-from waysift.llm.common import fold, read, table
+from waysift.llm.common import bucketed, fold, read, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,11 +30,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with a similarity of 0.8 or more on shingles of five words one stays: that with the smallest id, of those without id or of one id the first row. Rows have keys of their own here, as ids may repeat or be null."""
-    rows = table(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = simhash.similar(rows, size=5, similarity=0.8, id_col="row").withColumnRenamed("doc_id", "row")
+    rows = bucketed(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "row", "rows")
+    found = simhash.similar(rows, size=5, similarity=0.8, id_col="row", stored=True).withColumnRenamed("doc_id", "row")
     ids = rows.select("row", "doc_id").join(found.hint("merge"), "row")
     first = table(ids.groupBy("component_id").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("row")).select("row"), "first")
-    return rows.join(first.hint("merge"), "row", "left_semi").select(COLUMNS)
+    return rows.join(first.hint("shuffle_hash"), "row", "left_semi").select(COLUMNS)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
