@@ -125,8 +125,8 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(at)
 
 
-def drop(tables: list[DataFrame]) -> None:
-    """Removes tables made by table() or bucketed() that no later plan reads. The driver's heap is collected then, so that Spark removes the shuffle files of plans that are done."""
+def drop(tables: list[DataFrame], collect: bool = True) -> None:
+    """Removes tables made by table() or bucketed() that no later plan reads. With collect the driver's heap is collected then, so that Spark removes the shuffle files of plans that are done."""
     for t in tables:
         for f in t.inputFiles()[:1]:
             folder = f.rsplit("/", 1)[0]
@@ -135,7 +135,7 @@ def drop(tables: list[DataFrame]) -> None:
                 _drop_named(t.sparkSession, last)
             else:
                 _remove(t.sparkSession, folder)
-    if tables:
+    if tables and collect:
         gc.collect()
         tables[0].sparkSession.sparkContext._jvm.System.gc()
 

@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from .bpe import buffers
 from .common import batches_of, bound_batches, bucketed, drop, id_text, sliced, table
-from .components import components, forest
+from .components import components, spanning
 from .nn import hashes, rolled, word_bounds
 
 BLOCKS, BLOCK_BITS = 4, 16
 #: Node pairs that are walked at once; more are walked in parts. Pairs of nodes with so few leaf pairs are compared leaf by leaf.
 FRONTIER, LEAVES = 1 << 20, 64
 #: For similarity: texts whose shingles are counted, counts that are kept, how much further apart a round's pairs of a list are than those of the round before, and pairs of sets in an Arrow batch.
-ORDERED, USUAL, STEP, PAIR_ROWS = 20_000, 1 << 17, 8, 64
+ORDERED, USUAL, STEP, PAIR_ROWS = 20_000, 1 << 17, 64, 64
 NAMES = ["token", "id", "n", "place", "other"]
 
 
@@ -140,21 +140,11 @@ def links(classes: DataFrame, budget: int = 2) -> DataFrame:
         key, fp, ids = key[keep], fp[keep].view(np.uint64), ids[keep]
         order = np.lexsort((fp, key))
         key, fp, ids = key[order], fp[order], ids[order]
-        yield spanning(ids, trie_pairs(key, fp, budget))
+        yield spanning(ids, trie_pairs(key, fp, budget)).rename_columns(["a", "b"])
 
     return dealt.repartition("key").mapInArrow(run, "a long, b long")
 
 
-def spanning(ids: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Links that span what the pairs of positions of ids connect."""
-    nodes, at = np.unique(ids, return_inverse=True)
-    root = np.arange(len(nodes))
-    for i, j in pairs:
-        root = forest(len(nodes), np.r_[np.arange(len(nodes)), at[i]], np.r_[root, at[j]])
-    far = root != np.arange(len(nodes))
-    return pa.record_batch([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
-
-
 def near_duplicates(df: DataFrame, size: int = 3, budget: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id per row: fingerprints link at budget or fewer differing bits; a component's id is its smallest doc_id."""
     prints = table(fingerprints(df, size, seed, id_col, text_col), "prints")
@@ -341,11 +331,11 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
 
     grouped = of_class.join(joined.select(F.col("id").alias("doc_id"), F.col("component_id").alias("group")).hint("shuffle_hash"), "doc_id", "left")
     posts = prefixes(grouped.withColumn("group", F.coalesce("group", "doc_id")), size, similarity)
-    low, high = 1, 2
+    low, high = 1, 4
     old: list[DataFrame] = []
     while True:
         met = table(posts.repartition("token").mapInArrow(meet(low, high), "token long, id long, n int, place int, other long"), "met")
-        drop(old)
+        drop(old, collect=False)
         old = [met]
         pairs = table(met.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
         if not pairs.isEmpty():
@@ -353,9 +343,10 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
             new = verified(known, pairs, similarity)
             if not new.isEmpty():
                 was, joined = joined, table(components(new.unionByName(joined.select(F.col("id").alias("a"), F.col("component_id").alias("b")))), "joined")
-                drop([was])
-            drop([known, new])
-        drop([pairs])
+                drop([was], collect=False)
+            drop([known, new, pairs])
+        else:
+            drop([pairs], collect=False)
         lists = met.filter("other is null").select("token", "id", "n", "place")
         if lists.isEmpty():
             break
