@@ -2,7 +2,6 @@
 
 import json
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from waysift import functions as fn
@@ -137,15 +136,25 @@ def test_jaeger(spark, tmp_path):
     assert {r.reason for r in jaeger.rejected(jaeger.read(spark, str(p))).collect()} == {"several references", "reference to another trace"}
 
 
-def test_synthetic_nodes():
+def synthesized(names, edges, path):
+    rows = [{"pos": k, "node_id": n, "span_id": names[n][0], "tracepoint": names[n][0], "variant": names[n][1], "ts_ns": names[n][2], "is_synthetic": False, "edge_ns": e} for k, (n, e) in enumerate(path)]
+    return critical.synthesize(rows, critical.Branches({n: x[0] for n, x in names.items()}, edges))
+
+
+def test_synthetic_exits():
     names = {1: ("A", "Entry", 0), 2: ("B", "Entry", 1), 3: ("C", "Entry", 2), 4: ("C", "Exit", 9), 5: ("D", "Annotation", 3), 6: ("B", "Exit", 4), 7: ("A", "Exit", 5)}
-    nodes = pd.DataFrame([(i, s) for i, (s, _, _) in names.items()], columns=["node_id", "span_id"])
-    edges = pd.DataFrame([(1, 2), (2, 3), (3, 4), (2, 5), (5, 6), (6, 7)], columns=["src", "dst"])
-    rows = [(0, n, names[n][0], names[n][0], names[n][1], names[n][2], False, e) for n, e in ((1, None), (2, 1), (3, 1), (4, 7))]
-    path = pd.DataFrame(rows, columns=["pos", "node_id", "span_id", "tracepoint", "variant", "ts_ns", "is_synthetic", "edge_ns"])
-    got = critical.synthesize(path, nodes, edges)
-    assert [(r.span_id, r.variant, r.ts_ns, bool(r.is_synthetic)) for r in got.itertuples()] == [("A", "Entry", 0, False), ("B", "Entry", 1, False), ("B", "Exit", 2, True), ("A", "Exit", 3, True), ("C", "Entry", 2, False), ("C", "Exit", 9, False)]
-    assert got.edge_ns.tolist()[2:5] == [1, 1, 1]
+    got = synthesized(names, [(1, 2), (2, 3), (3, 4), (2, 5), (5, 6), (6, 7)], [(1, None), (2, 1), (3, 1), (4, 7)])
+    assert [(r["span_id"], r["variant"], r["ts_ns"], r["is_synthetic"]) for r in got] == [("A", "Entry", 0, False), ("B", "Entry", 1, False), ("B", "Exit", 2, True), ("A", "Exit", 3, True), ("C", "Entry", 2, False), ("C", "Exit", 9, False)]
+    assert [r["edge_ns"] for r in got][2:5] == [1, 1, 1]
+
+
+def test_synthetic_entries():
+    """Back to the join over which the span comes, after that node's predecessor on the path; without such a join the path has no meaning."""
+    names = {1: ("A", "Entry", 0), 2: ("X", "Annotation", 1), 3: ("B", "Entry", 2), 4: ("J", "Annotation", 5), 5: ("B", "Exit", 6), 6: ("A", "Exit", 7)}
+    edges, path = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 6)], [(1, None), (2, 1), (4, 4), (5, 1), (6, 1)]
+    got = synthesized(names, edges, path)
+    assert [(r["span_id"], r["variant"], r["ts_ns"]) for r in got if r["span_id"] != "A"] == [("X", "Annotation", 1), ("B", "Entry", 2), ("J", "Annotation", 5), ("B", "Exit", 6)]
+    assert synthesized(names, [e for e in edges if e[0] != 3], path) is None
 
 
 def test_incomplete_spans(spark):
@@ -217,7 +226,7 @@ def test_control(spark):
     p = spark.createDataFrame([(["a", "b", "c"], [1, 2, 3], "T")], "tracepoints array<string>, times array<bigint>, request_type string")
     assert {r.tracepoint for r in control.last_seen(p).collect()} == {"a", "b"}
     r = control.rates(spark.createDataFrame([("n", 0, 5), ("n", 0, 9), ("n", 2_000_000, 19)], "node string, hour_us bigint, received bigint")).collect()
-    assert sorted(str(x.rate) for x in r) == ["0.0", "5.0", "None"] or len(r) == 3
+    assert sorted(str(x.rate) for x in r) in (["0.0", "5.0", "None"], ["0.0", "7.0", "None"])  # two readings of one time have no order
 
 
 def test_request_types(spark):

@@ -4,37 +4,56 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import report
-from .functions import REQUEST_TYPES
+from .functions import REQUEST_TYPES, path_hash
 from .operators import control, critical, dag, groups, manifest
 from .settings import Settings
 from .sources import Traces, only, open_source, save, trace_ids
 
 
-def paths_of(t: Traces) -> DataFrame:
-    """Critical paths with their tracepoints, times and hash, as the grouping takes them. Traces whose walk doesn't meet their start are left out."""
+_STEP = ("span_id", "tracepoint", "variant", "ts_ns", "is_synthetic")
+
+
+def _rows(steps: DataFrame) -> DataFrame:
+    """base_id, path, tracepoints, times, n_nodes, duration_ns, hash of whole paths."""
+    p = steps.groupBy("base_id", "path").agg(F.sort_array(F.collect_list(F.struct("pos", "tracepoint", "ts_ns"))).alias("p"))
+    p = p.select("base_id", "path", F.transform("p", lambda x: x["tracepoint"]).alias("tracepoints"), F.transform("p", lambda x: x["ts_ns"]).alias("times"))
+    return p.select("*", F.size("tracepoints").alias("n_nodes"), (F.element_at("times", -1) - F.element_at("times", 1)).alias("duration_ns"), path_hash(F.col("tracepoints")).alias("hash"))
+
+
+def critical_steps(t: Traces) -> DataFrame:
+    """The critical paths' steps, with synthetic ends of spans and without repeated ones. Traces whose walk doesn't meet their start are left out."""
     found = critical.critical_paths(t.nodes, t.edges, t.traces).filter("is_whole")
-    steps = critical.path_steps(found, t.nodes.select("base_id", "node_id", "tracepoint", "ts_ns"))
-    rows = steps.groupBy("base_id").agg(F.sort_array(F.collect_list(F.struct("pos", "tracepoint", "ts_ns"))).alias("p"))
-    rows = rows.select("base_id", F.transform("p", lambda x: x["tracepoint"]).alias("tracepoints"), F.transform("p", lambda x: x["ts_ns"]).alias("times"))
-    from .functions import path_hash
+    steps = critical.path_steps(found, t.nodes.select("base_id", "node_id", *_STEP)).withColumn("path", F.lit(0).cast("bigint"))
+    return critical.whole_paths(steps, t.nodes, t.edges)
+
 
-    return rows.join(found.select("base_id", "n_nodes", "duration_ns"), "base_id").withColumn("hash", path_hash(F.col("tracepoints")))
+def paths_of(t: Traces) -> DataFrame:
+    """Critical paths with their tracepoints, times, hash and request type, as the grouping takes them."""
+    return _rows(critical_steps(t)).drop("path").join(types_of(t), "base_id")
 
 
-def manifest_of(spark: SparkSession, t: Traces) -> DataFrame:
-    """The catalogue of all paths of traces, not the critical ones only."""
+def types_of(t: Traces) -> DataFrame:
+    """base_id, request_type of every trace, by its entries."""
     entries = t.nodes.filter("variant = 'Entry'")
-    types = t.traces.select("base_id").join(manifest.tag(entries, "node_id", REQUEST_TYPES), "base_id", "left").withColumn("request_type", F.coalesce("request_type", F.lit("Unknown")))
-    every = dag.all_paths(spark, t.edges, t.traces.select("base_id", F.col("start_node").alias("node_id"))).withColumn("path", F.monotonically_increasing_id())
-    steps = every.select("base_id", "path", F.posexplode("node_ids").alias("pos", "node_id")).join(t.nodes.select("base_id", "node_id", "tracepoint"), ["base_id", "node_id"])
-    from .functions import path_hash
+    return t.traces.select("base_id").join(manifest.tag(entries, "node_id", REQUEST_TYPES), "base_id", "left").withColumn("request_type", F.coalesce("request_type", F.lit("Unknown")))
+
 
-    paths = steps.groupBy("base_id", "path").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tracepoint"))), lambda x: x["tracepoint"]).alias("tracepoints"))
-    return manifest.build(paths.withColumn("hash", path_hash(F.col("tracepoints"))).join(types, "base_id"))
+def possible_steps(spark: SparkSession, t: Traces) -> DataFrame:
+    """As critical_steps(), of all paths of traces, not the critical ones only."""
+    every = dag.all_paths(spark, t.edges, t.traces.select("base_id", F.col("start_node").alias("node_id")))
+    every = every.withColumn("path", F.xxhash64("node_ids"))
+    steps = every.select("base_id", "path", F.posexplode("node_ids").alias("pos", "node_id")).join(t.nodes.select("base_id", "node_id", *_STEP), ["base_id", "node_id"])
+    w = Window.partitionBy("base_id", "path").orderBy("pos")
+    return critical.whole_paths(steps.withColumn("edge_ns", F.col("ts_ns") - F.lag("ts_ns").over(w)), t.nodes, t.edges)
+
+
+def manifest_of(spark: SparkSession, t: Traces) -> DataFrame:
+    """The catalogue of all paths of traces."""
+    return manifest.build(_rows(possible_steps(spark, t)).join(types_of(t), "base_id"))
 
 
 COMMANDS = ("manifest", "manifest-stats", "show-manifest", "group", "read", "get-trace", "dump-traces", "recent-traces", "get-crit", "key-value", "enable-all", "disable-all", "disable-tracepoint", "enable-skeleton", "show-config")
@@ -81,11 +100,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> Da
             if a.command == "key-value":
                 out = dag.key_values(t.nodes)
             elif a.command == "get-crit":
-                found = critical.critical_paths(t.nodes, t.edges, t.traces)
-                steps = critical.path_steps(found, t.nodes)
-                line = steps.select("base_id", "node_id", "pos", "edge_ns")
-                before = line.select("base_id", (F.col("pos") + 1).alias("pos"), F.col("node_id").alias("src"))
-                out = report.dot(steps, line.join(before, ["base_id", "pos"]).select("base_id", "src", F.col("node_id").alias("dst"), F.col("edge_ns").alias("duration_ns")))
+                steps = critical_steps(t).withColumn("node_id", F.col("pos").cast("bigint"))  # synthetic nodes have no number of their own
+                out = report.dot(steps, steps.filter("pos > 0").select("base_id", (F.col("node_id") - 1).alias("src"), F.col("node_id").alias("dst"), F.col("edge_ns").alias("duration_ns")))
             else:
                 if a.out:
                     save(t, a.out, mode)

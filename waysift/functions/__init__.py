@@ -83,6 +83,25 @@ def contains_text(long_text: Column, short: Column) -> Column:
     return at > 0
 
 
+#: Letters that stand for tracepoints, by a hash; a shared one makes its paths odd.
+_FIRST, _LETTERS = 0x4E00, 20_000
+
+
+def letter(tracepoint: Column) -> Column:
+    """One letter's number for a tracepoint, in four hex digits."""
+    return F.lower(F.lpad(F.hex(F.pmod(F.xxhash64(tracepoint), F.lit(_LETTERS)) + _FIRST), 4, "0"))
+
+
+def letters(path: Column) -> Column:
+    """A path as a word with a letter for each tracepoint."""
+    return F.decode(F.unhex(F.array_join(F.transform(path, letter), "")), "UTF-16BE")
+
+
+def within(word: Column) -> Column:
+    """A pattern of the words that contain this one with other letters between: it reads each letter once."""
+    return F.concat(F.lit("^"), F.regexp_replace(word, "(.)", "[^$1]*+$1"))
+
+
 def positions(long: Column, short: Column) -> Column:
     """The positions, from 0, in long at which the greedy walk meets short's elements."""
     start = F.struct(F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,92 +46,131 @@ def hashed(steps: DataFrame) -> DataFrame:
     return steps.groupBy("base_id").agg(tp.alias("tracepoints")).withColumn("hash", path_hash(F.col("tracepoints")))
 
 
-def complete_spans(steps: DataFrame, id_col: str = "base_id") -> tuple[DataFrame, DataFrame]:
+def complete_spans(steps: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
     """Steps without repeated ends of spans, and the paths that can't be cleaned.
 
-    steps: id_col, pos, span_id, variant, ... While a span is open further entries of it
-    go; of its exits the last stays; an entry without exit stays; an exit whose span has
-    no entry puts the path among the second result (id_col, reason).
+    steps: keys (base_id unless given), pos, span_id, variant, ... While a span is open
+    further entries of it go; of exits without an entry between them the last stays; an
+    entry without exit stays; an exit whose span has no entry before puts the path among
+    the second result (keys, reason).
     """
-    w = Window.partitionBy(id_col, "span_id").orderBy("pos")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    entries = F.sum(F.when(F.col("variant") == "Entry", 1).otherwise(0))
-    marked = steps.withColumn("open", F.last(F.when(F.col("variant").isin("Entry", "Exit"), F.col("variant")), True).over(before))
-    marked = marked.withColumn("entries", F.coalesce(entries.over(before), F.lit(0)))
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    marked = marked.withColumn("exits_after", F.coalesce(F.sum(F.when(F.col("variant") == "Exit", 1).otherwise(0)).over(after), F.lit(0)))
-    bad = marked.filter("variant = 'Exit' and entries = 0").select(id_col, F.lit("exit without entry").alias("reason")).distinct()
-    keep = marked.filter("not (variant = 'Entry' and coalesce(open, '') = 'Entry') and not (variant = 'Exit' and exits_after > 0)").drop("open", "entries", "exits_after")
-    return keep.join(bad, id_col, "left_anti"), bad
-
-
-def synthesize(path: pd.DataFrame, nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-    """One trace's path with synthetic ends of spans that leave it.
-
-    Where the path leaves a branching node, spans that are open, don't come again on the
-    path and do end beyond an untaken branch get an exit, the innermost first, each one
-    nanosecond after the node before. An exit on the path of a span that is not open gets
-    an entry after the last node of the path at which several branches had met. path:
-    the path's nodes in order; nodes and edges: the whole trace's.
+    by = list(keys) or ["base_id"]
+    w = Window.partitionBy(*by, "span_id").orderBy("pos")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    end = F.when(F.col("variant").isin("Entry", "Exit"), F.col("variant"))
+    marked = steps.withColumn("was", F.last(end, True).over(before)).withColumn("comes", F.first(end, True).over(after))
+    bad = marked.filter("variant = 'Exit' and was is null").select(*by, F.lit("exit without entry").alias("reason")).distinct()
+    keep = marked.filter("not (variant = 'Entry' and coalesce(was, '') = 'Entry') and not (variant = 'Exit' and coalesce(comes, '') = 'Exit')").drop("was", "comes")
+    return keep.join(bad, by, "left_anti"), bad
+
+
+class Branches:
+    """A trace's graph, as far as synthetic ends of spans need it."""
+
+    def __init__(self, span: dict[int, str], edges: Iterable[tuple[int, int]]) -> None:
+        self.span = span
+        self.after: dict[int, list[int]] = {}
+        self.before: dict[int, list[int]] = {}
+        for s, d in edges:
+            self.after.setdefault(s, []).append(d)
+            self.before.setdefault(d, []).append(s)
+        self.met: dict[tuple[int, bool], set] = {}
+
+    def spans_from(self, node: int, back: bool) -> set:
+        """The spans of a node and of all that it reaches, forwards or back."""
+        if (node, back) not in self.met:
+            seen, todo = {node}, [node]
+            while todo:
+                new = [m for m in (self.before if back else self.after).get(todo.pop(), []) if m not in seen]
+                seen.update(new)
+                todo += new
+            self.met[node, back] = {self.span.get(m) for m in seen}
+        return self.met[node, back]
+
+
+def synthesize(rows: list[dict], graph: Branches) -> list[dict] | None:
+    """A path with synthetic ends of spans that leave it or come to it; null where such an end has no place.
+
+    Where an untaken branch leaves the path, spans that are open, don't come again on the
+    rest of the path and do come on that branch get an exit, the innermost first, each one
+    nanosecond after the node before. An exit of a span that is not open gets an entry:
+    back along the path, at the first node to which an untaken branch with that span
+    leads, one nanosecond after that node's predecessor on the path. The next node keeps
+    its edge's length. rows: the path's nodes in order.
     """
-    out_of: dict[int, list[int]] = {}
-    into: dict[int, int] = {}
-    for s, d in zip(edges["src"], edges["dst"], strict=True):
-        out_of.setdefault(int(s), []).append(int(d))
-        into[int(d)] = into.get(int(d), 0) + 1
-    span_of = dict(zip(nodes["node_id"].astype(int), nodes["span_id"], strict=True))
-
-    def reaches(node: int, span: str) -> bool:
-        seen, todo = set(), [node]
-        while todo:
-            n = todo.pop()
-            if span_of.get(n) == span:
-                return True
-            if n not in seen:
-                seen.add(n)
-                todo += out_of.get(n, [])
-        return False
-
-    rows = path.to_dict("records")
-    made: list[dict] = []
+    ids = [r["node_id"] for r in rows]
+    later, rest = [], {}
+    for r in reversed(rows):
+        later.append(dict(rest))
+        rest[r["span_id"]] = True
+    later.reverse()
+    follow: dict[int, list[dict]] = {}  # synthetic rows after the path's k-th
     open_: list[dict] = []
+
+    def end(of: dict, variant: str) -> dict:
+        return of | {"node_id": -1, "variant": variant, "is_synthetic": True, "edge_ns": 1}
+
     for k, row in enumerate(rows):
         if row["variant"] == "Entry":
             open_.append(row)
         elif row["variant"] == "Exit":
-            if any(o["span_id"] == row["span_id"] for o in open_):
-                open_ = [o for o in open_ if o["span_id"] != row["span_id"]]
+            own = [o for o in open_ if o["span_id"] == row["span_id"]]
+            if own:
+                open_ = [o for o in open_ if o is not own[-1]]
             else:
-                at = next((j for j in range(len(made) - 1, -1, -1) if into.get(int(made[j]["node_id"]), 0) > 1), 0)
-                made.insert(at + 1, row | {"node_id": -1, "variant": "Entry", "is_synthetic": True, "ts_ns": made[at]["ts_ns"] + 1 if made else row["ts_ns"], "edge_ns": 1})
+                at = next((j for j in range(k, 0, -1) if any(row["span_id"] in graph.spans_from(b, True) for b in graph.before.get(ids[j], []) if b != ids[j - 1])), 0)
+                if not at:
+                    return None
+                follow.setdefault(at - 1, []).insert(0, end(row, "Entry"))
+        if k + 1 < len(rows):
+            others = [b for b in graph.after.get(ids[k], []) if b != ids[k + 1]]
+            if others:
+                done: set = set()
+                for o in reversed(open_):
+                    if o["span_id"] not in later[k] and o["span_id"] not in done and any(o["span_id"] in graph.spans_from(b, False) for b in others):
+                        done.add(o["span_id"])
+                        follow.setdefault(k, []).append(end(o, "Exit"))
+    made = []
+    for k, row in enumerate(rows):
         made.append(row)
-        branches = out_of.get(int(row["node_id"]), [])
-        if k + 1 < len(rows) and len(branches) > 1:
-            later = {r["span_id"] for r in rows[k + 1 :]}
-            for o in reversed(list(open_)):
-                others = [b for b in branches if b != int(rows[k + 1]["node_id"])]
-                if o["span_id"] not in later and any(reaches(b, o["span_id"]) for b in others):
-                    made.append(o | {"node_id": -1, "variant": "Exit", "is_synthetic": True, "ts_ns": made[-1]["ts_ns"] + 1, "edge_ns": 1})
-                    open_ = [x for x in open_ if x is not o]
-    out = pd.DataFrame(made, columns=[*path.columns])
-    out["pos"] = range(len(out))
-    return out
+        made += [x | {"ts_ns": row["ts_ns"] + 1 + i} for i, x in enumerate(follow.get(k, []))]
+    return [x | {"pos": i} for i, x in enumerate(made)]
 
 
 def with_synthetic(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """synthesize() for every trace. steps: base_id, pos, node_id, span_id, tracepoint, variant, ts_ns, is_synthetic, edge_ns. The three inputs meet by trace; order within a trace rules this out as an expression."""
-    cols = ["base_id", "pos", "node_id", "span_id", "tracepoint", "variant", "ts_ns", "is_synthetic", "edge_ns"]
-    schema = "base_id string, pos int, node_id bigint, span_id string, tracepoint string, variant string, ts_ns bigint, is_synthetic boolean, edge_ns bigint"
-    graph = nodes.select("base_id", F.lit(0).alias("kind"), "node_id", "span_id", F.lit(None).cast("bigint").alias("dst")).unionByName(edges.select("base_id", F.lit(1).alias("kind"), F.col("src").alias("node_id"), F.lit(None).cast("string").alias("span_id"), "dst"))
-
-    def run(path: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(path):
-            return pd.DataFrame(columns=cols)
-        e = g[g["kind"] == 1].rename(columns={"node_id": "src"})
-        return synthesize(path.sort_values("pos")[cols], g[g["kind"] == 0], e)
-
-    own = steps.select(*[F.col(c).cast("string") if c in ("base_id", "span_id") else F.col(c) for c in cols])
-    return own.groupBy("base_id").cogroup(graph.withColumn("base_id", F.col("base_id").cast("string")).groupBy("base_id")).applyInPandas(run, schema)
+    """synthesize() for every path of every trace; paths in which an end has no place are left out. steps: base_id, path, pos, node_id, span_id, tracepoint, variant, ts_ns, is_synthetic, edge_ns. The three inputs meet by trace; order within a trace rules this out as an expression. Traces in which nothing branches are passed by."""
+    cols = ["pos", "node_id", "span_id", "tracepoint", "variant", "ts_ns", "is_synthetic", "edge_ns"]
+    step = "struct<pos:int,node_id:bigint,span_id:string,tracepoint:string,variant:string,ts_ns:bigint,is_synthetic:boolean,edge_ns:bigint>"
+    text = lambda df, *names: df.select(*[F.col(c).cast("string").alias(c) if c in ("base_id", "span_id") else F.col(c) for c in names])
+    own, e = text(steps, "base_id", "path", *cols), text(edges, "base_id", "src", "dst")
+    branching = e.groupBy("base_id", "src").count().filter("count > 1").select("base_id").unionByName(e.groupBy("base_id", "dst").count().filter("count > 1").select("base_id")).distinct()
+    paths = own.join(branching, "base_id", "left_semi").groupBy("base_id", "path").agg(F.sort_array(F.collect_list(F.struct(*cols))).cast(f"array<{step}>").alias("steps"))
+    lists = paths.groupBy("base_id").agg(F.collect_list(F.struct("path", "steps")).alias("paths"))
+    spans = text(nodes, "base_id", "node_id", "span_id").groupBy("base_id").agg(F.collect_list(F.struct("node_id", "span_id")).alias("nodes"))
+    links = e.groupBy("base_id").agg(F.collect_list(F.struct("src", "dst")).alias("edges"))
+
+    def run(batches: Iterable) -> Iterator:
+        kind = pa.list_(pa.struct([("pos", pa.int32()), ("node_id", pa.int64()), ("span_id", pa.string()), ("tracepoint", pa.string()), ("variant", pa.string()), ("ts_ns", pa.int64()), ("is_synthetic", pa.bool_()), ("edge_ns", pa.int64())]))
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                graph = Branches({n["node_id"]: n["span_id"] for n in r["nodes"]}, [(x["src"], x["dst"]) for x in r["edges"]])
+                made = [(r["base_id"], p["path"], synthesize(p["steps"], graph)) for p in r["paths"]]
+                out += [x for x in made if x[2] is not None]
+            ids, numbers, rows = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(numbers, pa.int64()), pa.array(rows, kind)], names=["base_id", "path", "steps"])
+
+    changed = lists.join(spans, "base_id").join(links, "base_id").mapInArrow(run, f"base_id string, path bigint, steps array<{step}>")
+    return own.join(branching, "base_id", "left_anti").unionByName(changed.select("base_id", "path", F.inline("steps")))
+
+
+def whole_paths(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Steps (as with_synthetic() takes them) after synthesis and cleaning, with positions and edges anew where nodes went."""
+    made = with_synthetic(steps, nodes, edges)
+    keep = complete_spans(made, "base_id", "path")[0]
+    w = Window.partitionBy("base_id", "path").orderBy("pos")
+    keep = keep.withColumn("n", F.row_number().over(w) - 1).withColumn("edge_ns", F.when(F.col("pos") - F.lag("pos").over(w) == 1, F.col("edge_ns")).otherwise(F.col("ts_ns") - F.lag("ts_ns").over(w)))
+    return keep.withColumn("pos", F.col("n")).drop("n")
 
 
 def real_steps(steps: DataFrame) -> DataFrame:

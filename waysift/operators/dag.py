@@ -38,20 +38,14 @@ def sync_points(edges: DataFrame) -> DataFrame:
 
 
 def reachable(spark: SparkSession, edges: DataFrame, starts: DataFrame, backward: bool = False) -> DataFrame:
-    """base_id, node_id of all that starts (base_id, node_id) reach, themselves included. Traces are acyclic; a node that several paths reach is carried once per level."""
-    e = edges.select("base_id", F.col("dst" if backward else "src").cast("bigint").alias("a"), F.col("src" if backward else "dst").cast("bigint").alias("b"))
-    s = starts.select("base_id", F.col("node_id").cast("bigint").alias("node_id"))
-    return recursive(
-        spark,
-        """
-        WITH RECURSIVE r(base_id, node_id) AS (
-          SELECT base_id, node_id FROM {s}
-          UNION ALL
-          SELECT e.base_id, e.b FROM r JOIN {e} e ON e.base_id = r.base_id AND e.a = r.node_id)
-        SELECT DISTINCT base_id, node_id FROM r""",
-        s=s,
-        e=e,
-    )
+    """base_id, node_id of all that starts (base_id, node_id) reach, themselves included. A trace's edges are one row, sorted so that an edge comes after those that lead to it as far as numbers tell; walks over them add what an edge leads to until nothing is added, each node once however many paths lead there."""
+    a, b = (F.col("dst"), F.col("src")) if backward else (F.col("src"), F.col("dst"))
+    e = edges.groupBy("base_id").agg(F.sort_array(F.collect_list(F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))), not backward).alias("e"))
+    s = starts.groupBy("base_id").agg(F.collect_set(F.col("node_id").cast("bigint")).alias("seen"))
+    found = s.join(e, "base_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    walk = lambda seen: F.aggregate("e", seen, lambda n, x: F.when(F.array_contains(n, x["a"]) & ~F.array_contains(n, x["b"]), F.concat(n, F.array(x["b"]))).otherwise(n))
+    again = F.aggregate(F.sequence(F.lit(1), F.size("e") + 1), F.struct(F.col("seen").alias("n"), F.lit(-1).alias("was")), lambda s, _: F.when(F.size(s["n"]) == s["was"], s).otherwise(F.struct(walk(s["n"]).alias("n"), F.size(s["n"]).alias("was"))), lambda s: s["n"])
+    return found.select("base_id", F.explode(again).alias("node_id"))
 
 
 def reaches_span(spark: SparkSession, nodes: DataFrame, edges: DataFrame, starts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -128,9 +122,18 @@ def drop_edges(edges: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFram
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """base_id, n_roots, is_connected: in traces where a node has at most one predecessor, one root is one component."""
-    roots = sources(nodes, edges).groupBy("base_id").agg(F.count("*").alias("n_roots"))
-    return nodes.select("base_id").distinct().join(roots, "base_id", "left").select("base_id", F.coalesce("n_roots", F.lit(0)).alias("n_roots"), (F.coalesce("n_roots", F.lit(0)) == 1).alias("is_connected"))
+    """base_id, n_components, is_connected. A node's label is its trace's smallest reachable node; each edge makes two labels one, inside a trace's row."""
+    e = edges.groupBy("base_id").agg(F.collect_list(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"))).alias("e"))
+    n = nodes.groupBy("base_id").agg(F.array_sort(F.collect_set("node_id")).alias("ids")).join(e, "base_id", "left")
+    at = lambda c: F.array_position("ids", c).cast("int") - 1
+    pairs = F.transform(F.coalesce("e", F.array().cast("array<struct<a:bigint,b:bigint>>")), lambda x: F.struct(at(x["a"]).alias("a"), at(x["b"]).alias("b")))
+    n = n.select("base_id", "ids", pairs.alias("e"))
+    start = F.transform("ids", lambda _, i: i)
+    low = lambda l, x: F.least(F.get(l, x["a"]), F.get(l, x["b"]))  # noqa: E731, E741
+    high = lambda l, x: F.greatest(F.get(l, x["a"]), F.get(l, x["b"]))  # noqa: E731, E741
+    labels = F.aggregate("e", start, lambda l, x: F.transform(l, lambda v: F.when(v == high(l, x), low(l, x)).otherwise(v)))  # noqa: E741
+    n = n.select("base_id", F.size(F.array_distinct(labels)).cast("bigint").alias("n_components"))
+    return n.withColumn("is_connected", F.col("n_components") == 1)
 
 
 def key_values(nodes: DataFrame) -> DataFrame:
