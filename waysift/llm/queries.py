@@ -41,7 +41,8 @@ def op5_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = warc.records(pages)
     rotten = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.substr("html", F.lit(2)))).otherwise(F.col("html"))
     found = warc.audit(own, warc.records(pages.withColumn("html", rotten)))
-    return own.join(found.select("record_id", "nth", "status").hint("merge"), ["record_id", "nth"], "left").select(F.col("record_id").alias("page_id"), "file", "offset", "n_bytes", "digest", F.coalesce("status", F.lit("intact")).alias("status"))
+    odd = found.select(F.col("record_id").alias("id"), F.col("nth").alias("k"), "status").hint("merge")
+    return own.join(odd, F.col("record_id").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("k")), "left").select(F.col("record_id").alias("page_id"), "file", "offset", "n_bytes", "digest", F.coalesce("status", F.lit("intact")).alias("status"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def record_text(page_id: Column, url: Column, html: Column) -> Column:
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """record_id, file, nth (among equal ids), offset, n_bytes, digest (SHA-256 of the whole record) per page."""
     text = record_text(pages[id_col], pages[url_col], pages[html_col])
-    r = pages.select(pages[id_col].cast("long").alias("record_id"), text.alias("t")).select("record_id", F.floor(F.col("record_id") / FILE_IDS).alias("file"), F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("digest"))
+    r = pages.select(pages[id_col].cast("long").alias("record_id"), text.alias("t")).select("record_id", F.expr(f"floor(record_id / {FILE_IDS}.0BD)").cast("long").alias("file"), F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("digest"))
     w = Window.partitionBy("file").orderBy("record_id", "digest")
     return r.select("record_id", "file", F.row_number().over(Window.partitionBy("file", "record_id").orderBy("digest")).alias("nth"), (F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_bytes")).alias("offset"), "n_bytes", "digest")
 
@@ -120,7 +120,7 @@ def roots(r: DataFrame) -> DataFrame:
 def files(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """file, content (binary): the WARC files themselves, of FILE_IDS ids each."""
     t = pages.select(pages[id_col].cast("long").alias("record_id"), record_text(pages[id_col], pages[url_col], pages[html_col]).alias("t"))
-    t = t.select(F.floor(F.col("record_id") / FILE_IDS).alias("file"), F.struct("record_id", F.sha2("t", 256).alias("digest"), "t").alias("s"))
+    t = t.select(F.expr(f"floor(record_id / {FILE_IDS}.0BD)").cast("long").alias("file"), F.struct("record_id", F.sha2("t", 256).alias("digest"), "t").alias("s"))
     return t.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["t"]), "").cast("binary").alias("content"))
 
 
