@@ -441,11 +441,22 @@ def search_flat(spark, d):
     return search.flat(g, edges, _manifest(spark, d), 3, enabled)
 
 
-@query(_end(HIERARCHY) + "SELECT DISTINCT p.tracepoint AS parent, h.tracepoint FROM h JOIN sp p ON p.base_id = h.base_id AND p.ord = h.parent_ord WHERE p.tracepoint <> h.tracepoint AND p.tracepoint IN (SELECT tracepoint FROM sp WHERE variant = 'Entry') AND h.tracepoint <> 'RF'")
+@query(
+    _end(HIERARCHY)
+    + """, iv AS (SELECT base_id, span, min(ord) FILTER (WHERE variant = 'Entry') AS a, max(ord) FILTER (WHERE variant = 'Exit') AS x, min(tracepoint) AS tp FROM sp GROUP BY 1, 2),
+cx AS (SELECT sp.base_id, sp.ord, list(iv.tp ORDER BY iv.a) AS c FROM sp JOIN iv ON iv.base_id = sp.base_id AND iv.a <= sp.ord AND iv.x >= sp.ord GROUP BY 1, 2),
+ed AS (SELECT base_id, ord AS edge_pos, c, lag(c) OVER (PARTITION BY base_id ORDER BY ord) AS b FROM cx),
+pf AS (SELECT base_id, edge_pos, c[1:len([k FOR k IN range(1, least(len(b), len(c)) + 1) IF b[1:k] = c[1:k]])] AS p FROM ed WHERE b IS NOT NULL),
+lk AS (SELECT base_id, 0::BIGINT AS up, ord AS at_, tracepoint AS tp FROM h WHERE parent_ord IS NULL UNION ALL SELECT h.base_id, h.parent_ord, h.ord, h.tracepoint FROM h JOIN sp ON sp.base_id = h.base_id AND sp.ord = h.parent_ord WHERE sp.tracepoint <> h.tracepoint),
+w AS (SELECT base_id, edge_pos, p, 0 AS n, 0::BIGINT AS at_ FROM pf UNION ALL SELECT w.base_id, edge_pos, p, n + 1, lk.at_ FROM w JOIN lk ON lk.base_id = w.base_id AND lk.up = w.at_ AND lk.tp = w.p[n + 1] WHERE n < len(p))
+SELECT DISTINCT w.base_id, edge_pos, lk.tp AS tracepoint FROM w JOIN lk ON lk.base_id = w.base_id AND lk.up = CASE WHEN w.at_ = 0 THEN 1 ELSE w.at_ END WHERE n = len(p) AND lk.tp <> 'RF'"""
+)
 def search_hierarchical(spark, d):
+    """Candidates inside every edge of every trace, each a path of its own."""
     s = _spans(spark, d)
-    contexts = search.span_context(s)
-    return search.hierarchical(contexts, manifest.hierarchy_edges(s), spark.createDataFrame([("RF",)], "tracepoint string"))
+    c = search.span_context(s).select("base_id", "ord", "context")
+    edges = c.select("base_id", F.col("ord").alias("edge_pos"), F.col("context").alias("target_context")).join(c.select("base_id", (F.col("ord") + 1).alias("edge_pos"), F.col("context").alias("source_context")), ["base_id", "edge_pos"])
+    return search.hierarchical(edges, s, spark.createDataFrame([("RF",)], "tracepoint string"), ("base_id",))
 
 
 @query(_end(MANIFEST) + "SELECT DISTINCT t AS tracepoint FROM (SELECT unnest(string_split(seq, chr(31))) AS t FROM mani WHERE request_type = 'Purchase') WHERE t <> 'click'")

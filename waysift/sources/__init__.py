@@ -33,6 +33,8 @@ def _xtrace(hex_events: bool, pruned: bool) -> TraceSource:
         from . import xtrace
 
         t = Traces(*xtrace.assemble(xtrace.read(spark, path), hex_events))
+        if hex_events:
+            t = Traces(*xtrace.simplify(t.nodes, t.edges))
         return Traces(*prune(spark, t.nodes, t.edges, t.traces), t.traces) if for_searchspace and pruned else t
 
     return read

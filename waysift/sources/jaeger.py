@@ -24,12 +24,14 @@ def rejected(spans: DataFrame) -> DataFrame:
 
 
 def assemble(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges and traces as osprofiler.assemble() gives them, without rejected traces.
+    """Nodes, edges and traces as osprofiler.assemble() gives them, without rejected traces and without those that aren't connected.
 
     An event follows the one before among those of its parent's children, else its
     parent's entry; an event without parent follows the event before it if that is an
     exit or of the same span. All events are at hand, so none has to wait for its parent.
     """
+    from ..operators.dag import connected
+
     ok = spans.withColumn("base_id", hex_id(F.col("trace"))).join(rejected(spans).select("base_id").distinct(), "base_id", "left_anti")
     ends = F.array(F.struct(F.lit("Entry").alias("variant"), F.col("s.startTime").alias("us")), F.struct(F.lit("Exit").alias("variant"), (F.col("s.startTime") + F.col("s.duration")).alias("us")))
     e = ok.select("base_id", "seq", hex_id(F.col("s.spanID")).alias("span_id"), hex_id(F.get("s.references", F.lit(0))["spanID"]).alias("parent_span_id"), F.col("s.operationName").alias("tracepoint"), F.col("s.process.serviceName").alias("host"), F.explode(ends).alias("v"))
@@ -44,4 +46,5 @@ def assemble(spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     src = F.when(F.col("parent_span_id").isNull(), F.when((F.col("before.v") == "Exit") | (F.col("before.s") == F.col("span_id")), F.col("before"))).otherwise(F.coalesce("sibling", "up"))
     edges = k.withColumn("src", src).filter("src is not null").select("base_id", F.col("src.n").alias("src"), F.col("node_id").alias("dst"), (F.col("ts_ns") - F.col("src.t")).alias("duration_ns"), F.lit("ChildOf").alias("variant"), F.col("node_id").alias("edge_seq"))
     traces = nodes.groupBy("base_id").agg(F.min("node_id").alias("start_node"), F.max("node_id").alias("end_node"), (F.max("ts_ns") - F.min("ts_ns")).alias("duration_ns"))
-    return nodes, edges, traces
+    whole = connected(nodes, edges).filter("is_connected").select("base_id")
+    return tuple(df.join(whole, "base_id", "left_semi") for df in (nodes, edges, traces))

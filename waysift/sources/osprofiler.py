@@ -48,7 +48,7 @@ def shape(info: Column) -> Column:
 
 
 def nanoseconds(text: Column) -> Column:
-    return F.unix_micros(F.to_timestamp(text)) * 1000
+    return F.unix_micros(F.to_timestamp(F.concat(F.substring_index(text, "+", 1), F.lit("+00:00")))) * 1000
 
 
 def spans(raw: DataFrame) -> DataFrame:
