@@ -53,7 +53,7 @@ def possible_steps(spark: SparkSession, t: Traces) -> DataFrame:
 
 def manifest_of(spark: SparkSession, t: Traces) -> DataFrame:
     """The catalogue of all paths of traces."""
-    return manifest.build(_rows(possible_steps(spark, t)).join(types_of(t), "base_id"))
+    return manifest.build(_rows(possible_steps(spark, t)).join(types_of(t), "base_id").persist())  # read several times
 
 
 COMMANDS = ("manifest", "manifest-stats", "show-manifest", "group", "read", "get-trace", "dump-traces", "recent-traces", "get-crit", "key-value", "enable-all", "disable-all", "disable-tracepoint", "enable-skeleton", "show-config")
@@ -89,7 +89,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> Da
         t = read()
         if a.command == "group":
             t = only(t, trace_ids(spark, a.what))[0] if a.what else t
-            out = groups.report(paths_of(t)).orderBy(F.desc("n_traces"), "hash")
+            out = groups.report(paths_of(t).persist()).orderBy(F.desc("n_traces"), "hash")
         elif a.command == "recent-traces":
             out = t.traces.select("base_id")
         else:
