@@ -363,11 +363,73 @@ def test_graph_recall():
     ids = g.find(x[::50].astype(np.float32), 64)[0][:, :10]
     true = np.argsort(-(x[::50] @ x.T), 1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(ids.tolist(), true.tolist(), strict=True)]) >= 0.9
-    a, b = hnsw.within(g, x, x, 0.95)
+    a, b = (np.concatenate(c) for c in zip(*hnsw.hits(g, x, x, 0.95, hnsw.audited_beam(g, x, x, 0.95)), strict=True))
     real = (x @ x.T >= 0.95).sum()
     assert len(a) == len(set(zip(a.tolist(), b.tolist(), strict=True))) and len(a) >= 0.97 * real
 
 
+class Blind:
+    """A graph that finds nothing in beams under 512, then all nodes."""
+
+    def __init__(self, x):
+        self.x, self.beams = x, []
+
+    def find(self, q, beam):
+        self.beams.append(beam)
+        ids = np.full((len(q), beam), -1, np.int32)
+        sims = np.full((len(q), beam), -2, np.float32)
+        if beam >= 512:
+            ids[:, : len(self.x)] = np.arange(len(self.x))[:beam]
+            sims[:, : len(self.x)] = (q @ self.x.T)[:, :beam]
+        return ids, sims
+
+
+def test_audit_does_not_pass_on_queries_without_links():
+    r = np.random.default_rng(6)
+    x = r.standard_normal((600, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = r.standard_normal((200, 16))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    assert not (q @ x.T >= 0.95).any()
+    assert hnsw.audited_beam(Blind(x), x, q, 0.95) >= 600
+    p = hnsw.probes(x, 0.95, 96)
+    assert np.allclose(np.linalg.norm(p, axis=1), 1) and ((p @ x.T).max(1) >= 0.95).all()
+    assert (hnsw.probes(np.ones((3, 1)), 0.95, 96) == 1).all()
+
+
+def test_dense_block_is_folded_in_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(7)
+    x = r.standard_normal(24) + 0.02 * r.standard_normal((6000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, weight = np.arange(6000) * 3, np.ones(6000, np.int64)
+    tracemalloc.start()
+    n, every, root = hnsw.folded(Blind(x), x, ids, weight, x[:2000], ids[:2000], 0.95)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.tolist() == ((x[:2000] @ x.T >= 0.95).sum(1) - 1).tolist() and n.min() > 5000
+    assert every.tolist() == ids.tolist() and set(root.tolist()) == {0}
+    assert peak < 150 << 20  # the pairs alone are 192 MB
+
+
+def test_embeddings_in_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(hnsw, "SHARD_BYTES", 40 * 128)
+    monkeypatch.setattr(hnsw, "BLOCK_BYTES", 30 * 128)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((250, 16))
+    x[100:180] = x[:80] + 0.05 * r.standard_normal((80, 16))
+    x[180:200] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(3, x[40].tolist())]  # an id with two vectors
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    near = x @ x.T >= 0.95 + 1e-9
+    real = {k: int(near[k].sum()) - 1 for k in range(250) if k not in (3, 40) and not near[k, 3] and not near[k, 40]}
+    found = {g.vec_id: g.n_links for g in got if g.vec_id in real}
+    assert all(found[k] <= real[k] for k in real) and sum(found.values()) >= 0.98 * sum(real.values())
+
+
 LANGS = {"aa": "lo mi ra tel nor vis pam".split(), "bb": "sch ung keit ver gra zuf tz".split(), "cc": "qua eux oir ien ment eau ç".split()}
 
 

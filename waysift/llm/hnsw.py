@@ -4,9 +4,10 @@ Equal vectors are one node with a weight. Nodes are dealt to shards by a hash; e
 shard's graph is built from its top layer down, in batches whose searches move in
 lockstep. Every node then queries every shard, in blocks. A query's beam widens while
 all it holds is within the threshold, and a block's beams widen until an audit of some
-of its queries against all vectors of the shard finds recall enough; a beam as wide as
-the shard is exhaustive. Hits are verified by their cosine in double precision. A
-block reports link counts and a spanning forest of its links, never the pairs.
+of its queries, and of probes made beside the shard's vectors, against all vectors of
+the shard finds recall enough; a beam as wide as the shard is exhaustive. Hits are
+verified by their cosine in double precision and folded, slice by slice, into link
+counts and a spanning forest: pairs are neither held nor reported.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components link with nothing and are their own component; vectors of different lengths
@@ -31,10 +32,10 @@ from .components import components, forest
 
 #: Links of a node, twice as many on the lowest layer; beam while building and searching.
 LINKS, BUILD_BEAM, BEAM = 16, 64, 64
-#: Nodes of a shard and queries of a block at most, and the fewest of each that are made.
-SHARD_NODES, BLOCK_QUERIES, FEWEST = 1 << 16, 1 << 14, 4
-#: Queries of a block that are audited, and the recall they need.
-AUDIT, RECALL = 96, 0.98
+#: Bytes of a shard's and of a block's vectors at most (a vector at least), and the fewest of each that are made.
+SHARD_BYTES, BLOCK_BYTES, FEWEST = 1 << 25, 1 << 24, 4
+#: Queries of a block that are audited, as many probes, and the recall they need; the widest beam.
+AUDIT, RECALL, WIDEST = 96, 0.98, 4096
 
 
 class Layer:
@@ -172,36 +173,74 @@ class Graph:
         return self.layers[-1].search(q, start, beam)
 
 
-def within(g: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with cosine of at least threshold in double precision. vectors: the graph's, of unit length in double precision, as the queries are."""
-    n, q32 = len(vectors), queries.astype(np.float32)
-    check = np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int) if len(queries) else np.zeros(0, int)
-    real = queries[check] @ vectors.T >= threshold
-    while True:
-        hits, todo, width = [], np.arange(len(queries)), min(beam, n)
+def probes(vectors: np.ndarray, threshold: float, n: int) -> np.ndarray:
+    """Unit vectors beside n of the vectors, in a direction of their own, with a cosine to them that is barely enough."""
+    v = vectors[np.linspace(0, len(vectors) - 1, min(n, len(vectors))).astype(int)]
+    away = np.random.default_rng(3).standard_normal(v.shape)
+    away -= np.einsum("ij,ij->i", away, v)[:, None] * v
+    long = np.linalg.norm(away, axis=1, keepdims=True)
+    c = threshold + 0.1 * (1 - threshold)
+    out = c * v + np.sqrt(max(0.0, 1 - c * c)) * away / np.maximum(long, 1e-300)
+    return np.where(long > 1e-9, out, v)  # of one component: no other direction
+
+
+def hits(g: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) with cosine of at least threshold in double precision, a slice of queries at a time. A beam that is full of such nodes widens; one over the shard or WIDEST compares all."""
+    n = len(vectors)
+
+    def proven(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.concatenate([np.einsum("ij,ij->i", queries[a[i : i + 65536]], vectors[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= threshold
+        return a[ok], b[ok]
+
+    for first in range(0, len(queries), 1024):
+        todo, width = np.arange(first, min(first + 1024, len(queries))), min(beam, n)
         while len(todo):
-            if width >= n or width > 4096:  # as wide as the shard: all of it
-                for i in range(0, len(todo), 256):
-                    a, b = np.nonzero(queries[todo[i : i + 256]] @ vectors.T >= threshold)
-                    hits.append((todo[i + a], b))
+            if width >= n or width > WIDEST:
+                for i in range(0, len(todo), 64):
+                    a, b = np.nonzero(queries[todo[i : i + 64]] @ vectors.T >= threshold - 1e-9)
+                    yield proven(todo[i + a], b)
                 break
-            ids, sims = g.find(q32[todo], width)
+            ids, sims = g.find(queries[todo].astype(np.float32), width)
             near = sims >= threshold - 1e-3
             full = near.all(1)  # there may be more
             a, k = np.nonzero(near & ~full[:, None])
-            hits.append((todo[a], ids[a, k].astype(np.int64)))
+            yield proven(todo[a], ids[a, k].astype(np.int64))
             todo, width = todo[full], min(n, 4 * width)
-        a, b = (np.concatenate(x) for x in zip(*hits, strict=True)) if hits else (np.zeros(0, np.int64),) * 2
-        exact = np.concatenate([np.einsum("ij,ij->i", queries[a[i : i + 65536]], vectors[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)]) >= threshold
-        a, b = a[exact], b[exact]
+
+
+def audited_beam(g: Graph, vectors: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM, audit: int = AUDIT, recall: float = RECALL) -> int:
+    """The first beam, doubled from the given one, whose recall is enough.
+
+    Held against all vectors are some of the queries, and as many probes that lie beside
+    vectors of the shard, barely within the threshold: those have links whatever the
+    queries have. Recall is the mean over audited queries that have links of the part
+    of them that is found, so one query of very many links can't hide others' misses.
+    """
+    some = np.linspace(0, len(queries) - 1, min(audit, len(queries))).astype(int)
+    asked = np.concatenate((queries[some], probes(vectors, threshold, audit)))
+    real = np.concatenate([asked[i : i + 32] @ vectors.T >= threshold for i in range(0, len(asked), 32)])
+    has = real.any(1)
+    while beam < len(vectors):
         found = np.zeros_like(real)
-        place = np.full(len(queries), -1)
-        place[check] = np.arange(len(check))
-        of = place[a]
-        found[of[of >= 0], b[of >= 0]] = True
-        if beam >= n or (found & real).sum() >= recall * real.sum():
-            return a, b
+        for a, b in hits(g, vectors, asked, threshold, beam):
+            found[a, b] = True
+        if ((found & real)[has].sum(1) / real[has].sum(1)).mean() >= recall:
+            return beam
         beam *= 2
+    return beam
+
+
+def folded(g: Graph, vectors: np.ndarray, ids: np.ndarray, weight: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per query the weight of the nodes that it links with, but itself; and of all ids, rising, the smallest that its links reach. Pairs are folded into these slice by slice."""
+    every = np.unique(np.r_[own, ids])
+    n, root, self_ = np.zeros(len(own), np.int64), np.arange(len(every)), np.arange(len(every))
+    if len(queries) and len(vectors):
+        for a, b in hits(g, vectors, queries, threshold, audited_beam(g, vectors, queries, threshold)):
+            other = own[a] != ids[b]
+            a, b = a[other], b[other]
+            np.add.at(n, a, weight[b])
+            root = forest(len(every), np.r_[self_, np.searchsorted(every, own[a])], np.r_[root, np.searchsorted(every, ids[b])])
+    return n, every, root
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -220,8 +259,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     rows = table(df.select(df[id_col].cast("long").alias("vec_id"), df[vector_col].cast("array<double>").alias("v")).mapInArrow(read, "vec_id long, v binary"), "vectors")
     nodes = table(rows.filter("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")), "nodes")
     sizes = {r[0]: r[1] for r in nodes.groupBy(F.octet_length("v")).count().collect()}  # a row for each vector length
-    shards = {k: max(FEWEST, -(-n // SHARD_NODES)) for k, n in sizes.items()}
-    blocks = {k: max(FEWEST, -(-n // BLOCK_QUERIES)) for k, n in sizes.items()}
+    shards, blocks = ({k: max(FEWEST, -(-n // max(1, most // k))) for k, n in sizes.items()} for most in (SHARD_BYTES, BLOCK_BYTES))
     if not sizes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     by = lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), F.octet_length("v"))
@@ -247,13 +285,8 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
         ids, weight, x, g = pickle.loads(graph["graph"].iloc[0])
         queries = queries.sort_values("id")
         own = queries["id"].to_numpy()
-        a, b = within(g, x, unit(queries["v"].tolist()), threshold)
-        other = own[a] != ids[b]
-        a, b = a[other], b[other]
-        every, at = np.unique(np.r_[own[a], ids[b]], return_inverse=True)
-        root = forest(len(every), at[: len(a)], at[len(a) :])
+        n, every, root = folded(g, x, ids, weight, unit(queries["v"].tolist()), own, threshold)
         far = np.flatnonzero(root != np.arange(len(every)))
-        n = np.bincount(a, weight[b], len(own)).astype(np.int64)
         hit = n > 0
         return pd.DataFrame({"id": np.r_[own[hit], every[far]], "n": np.r_[n[hit], np.zeros(len(far), np.int64)], "to": pd.array([None] * int(hit.sum()) + every[root[far]].tolist(), dtype="Int64")})
 
