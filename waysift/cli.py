@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import argparse
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import report
 from .functions import REQUEST_TYPES, path_hash
-from .operators import control, critical, dag, groups, manifest
+from .operators import control, critical, dag, groups, manifest, search
 from .settings import Settings
 from .sources import Traces, only, open_source, save, trace_ids
+from .streaming.controller import Controller
 
 
 _STEP = ("span_id", "tracepoint", "variant", "ts_ns", "is_synthetic")
 
 
 def _rows(steps: DataFrame) -> DataFrame:
-    """base_id, path, tracepoints, times, n_nodes, duration_ns, hash of whole paths."""
-    p = steps.groupBy("base_id", "path").agg(F.sort_array(F.collect_list(F.struct("pos", "tracepoint", "ts_ns"))).alias("p"))
-    p = p.select("base_id", "path", F.transform("p", lambda x: x["tracepoint"]).alias("tracepoints"), F.transform("p", lambda x: x["ts_ns"]).alias("times"))
+    """base_id, path, tracepoints, times, spans, variants, n_nodes, duration_ns, hash of whole paths."""
+    p = steps.groupBy("base_id", "path").agg(F.sort_array(F.collect_list(F.struct("pos", "tracepoint", "ts_ns", "span_id", "variant"))).alias("p"))
+    names = {"tracepoint": "tracepoints", "ts_ns": "times", "span_id": "spans", "variant": "variants"}
+    p = p.select("base_id", "path", *(F.col(f"p.{c}").alias(n) for c, n in names.items()))
     return p.select("*", F.size("tracepoints").alias("n_nodes"), (F.element_at("times", -1) - F.element_at("times", 1)).alias("duration_ns"), path_hash(F.col("tracepoints")).alias("hash"))
 
 
@@ -51,12 +55,28 @@ def possible_steps(spark: SparkSession, t: Traces) -> DataFrame:
     return critical.whole_paths(steps.withColumn("edge_ns", F.col("ts_ns") - F.lag("ts_ns").over(w)), t.nodes, t.edges)
 
 
-def manifest_of(spark: SparkSession, t: Traces) -> DataFrame:
-    """The catalogue of all paths of traces."""
-    return manifest.build(_rows(possible_steps(spark, t)).join(types_of(t), "base_id").persist())  # read several times
+def manifest_of(spark: SparkSession, t: Traces) -> tuple[DataFrame, DataFrame]:
+    """The catalogue of all paths of traces, and the paths' events."""
+    steps = possible_steps(spark, t)
+    rows = _rows(steps).join(types_of(t), "base_id").persist()  # read several times
+    return manifest.build(rows), manifest.path_events(steps, rows)
 
 
-COMMANDS = ("manifest", "manifest-stats", "show-manifest", "group", "read", "get-trace", "dump-traces", "recent-traces", "get-crit", "key-value", "enable-all", "disable-all", "disable-tracepoint", "enable-skeleton", "show-config")
+def run(spark: SparkSession, s: Settings, folder: str, batches: int | None = None, targets: set[str] | None = None, clock: Callable[[], float] = time.time, wait: Callable[[float], None] = time.sleep, stats: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """The controller over the traces that lie at trace_path, looked at once a jiffy; gives what is enabled in the end. stats: node, hour_us, trace_size of the agents, if there are any."""
+    events = spark.read.parquet(s.manifest_file + "_events") if s.search_strategy == "Hierarchical" else None
+    known = manifest.read(spark, s.manifest_file)
+    c = Controller(s, folder, search.strategy(s.search_strategy, known, events), known, targets or set(), clock, stats)
+    first = number = c.resume(spark)
+    while not c.stopped and (batches is None or number < first + batches):
+        if number > first:
+            wait(s.jiffy_s)
+        c.poll(paths_of(open_source(s.application)(spark, s.trace_path)), number)
+        number += 1
+    return control.read_state(spark, s.state_path)
+
+
+COMMANDS = ("manifest", "manifest-stats", "show-manifest", "group", "read", "get-trace", "dump-traces", "recent-traces", "get-crit", "key-value", "enable-all", "disable-all", "disable-tracepoint", "enable-skeleton", "show-config", "run")
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> DataFrame | None:
@@ -68,6 +88,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> Da
     p.add_argument("--out")
     p.add_argument("--overwrite", action="store_true")
     p.add_argument("--prune", action="store_true")
+    p.add_argument("--batches", type=int, help="run: polls to make; without it, until the targets are found")
+    p.add_argument("--target", action="append", default=[], help="run: tracepoints to look for")
     a = p.parse_args(args)
     s = Settings.read(a.settings)
     spark = spark or SparkSession.builder.appName("waysift").getOrCreate()
@@ -79,8 +101,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> Da
     elif a.command == "manifest":
         t = read(True)
         t = only(t, trace_ids(spark, a.what))[0] if a.what else t
-        manifest_of(spark, t).write.partitionBy("request_type").mode(mode).parquet(s.manifest_file)
+        catalogue, events = manifest_of(spark, t)
+        catalogue.write.partitionBy("request_type").mode(mode).parquet(s.manifest_file)
+        events.write.mode(mode).parquet(s.manifest_file + "_events")
         out = manifest.stats(manifest.read(spark, s.manifest_file))
+    elif a.command == "run":
+        out = run(spark, s, a.out, a.batches, set(a.target))
     elif a.command == "manifest-stats":
         out = manifest.stats(manifest.read(spark, s.manifest_file))
     elif a.command == "show-manifest":
@@ -115,16 +141,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> Da
             changes = manifest.skeleton(manifest.entry_points(manifest.read(spark, s.manifest_file)), manifest.request_type_tracepoints(points)).select(F.lit(0).cast("bigint").alias("seq"), "tracepoint", F.lit(None).cast("string").alias("request_type"), F.lit(True).alias("enable"))
         else:
             changes = points.select(F.lit(0).cast("bigint").alias("seq"), "tracepoint", F.lit(None).cast("string").alias("request_type"), F.lit(a.command == "enable-all").alias("enable"))
-        try:
-            state = spark.read.parquet(s.state_path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            state = spark.createDataFrame([], "tracepoint string, request_type string")
-        new = control.apply_changes(state, changes)
-        rows = new.collect()  # the enabled tracepoints: names that a controller holds in memory
-        out = spark.createDataFrame(rows, "tracepoint string, request_type string")
-        out.write.mode("overwrite").parquet(s.state_path)
+        out = control.write_state(spark, control.apply_changes(control.read_state(spark, s.state_path), changes), s.state_path)
         if s.control_file:
             control.control_file(control.not_disabled(points, out), s.control_file)
     if out is not None:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Limits and periods of the loop.
@@ -18,6 +19,33 @@ def apply_changes(state: DataFrame, changes: DataFrame) -> DataFrame:
     return all_.groupBy("tracepoint", "request_type").agg(F.max_by("enable", "seq").alias("enable")).filter("enable").select("tracepoint", "request_type")
 
 
+def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a folder of JSON files; none where there is no folder yet."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def read_state(spark: SparkSession, path: str) -> DataFrame:
+    """The stored state; none where nothing was stored."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "tracepoint string, request_type string")
+
+
+def write_state(spark: SparkSession, state: DataFrame, path: str) -> DataFrame:
+    """Stores a state that may come from the one stored before. The enabled tracepoints are names that a controller holds in memory, so the driver holds them too."""
+    out = spark.createDataFrame(state.collect(), "tracepoint string, request_type string")
+    out.write.mode("overwrite").parquet(path)
+    return out
+
+
 def is_enabled(asked: DataFrame, state: DataFrame) -> DataFrame:
     """asked (tracepoint, request_type) with enabled: for its type or for all."""
     s = state.select("tracepoint", F.col("request_type").alias("for_type"))

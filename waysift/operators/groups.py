@@ -50,11 +50,16 @@ def zero_variance(groups: DataFrame) -> DataFrame:
     return groups.agg(F.count("*").alias("n_groups"), F.count_if(F.col("variance_us2") == 0).alias("n_zero"))
 
 
+def edge_times(paths: DataFrame) -> DataFrame:
+    """hash, pos (of the edge's target, from 1), source, target, us of every path's edges."""
+    pair = F.transform(F.sequence(F.lit(1), F.size("times") - 1), lambda i: F.struct(i.alias("pos"), F.get("tracepoints", i - 1).alias("source"), F.get("tracepoints", i).alias("target"), (F.get("times", i) - F.get("times", i - 1)).alias("ns")))
+    e = paths.filter("n_nodes > 1").select("hash", F.explode(pair).alias("e"))
+    return e.select("hash", "e.pos", "e.source", "e.target", F.expr("e.ns div 1000").alias("us"))
+
+
 def group_edges(paths: DataFrame) -> DataFrame:
-    """hash, pos (of the edge's target, from 1), source, target, n, min_us, max_us, variance_us2, variance_s2."""
-    pair = F.transform(F.sequence(F.lit(1), F.size("times") - 1), lambda i: F.struct(i.alias("pos"), F.get("tracepoints", i - 1).alias("source"), F.get("tracepoints", i).alias("target"), F.expr("0").alias("zero"), (F.get("times", i) - F.get("times", i - 1)).alias("ns")))
-    e = paths.filter("n_nodes > 1").select("hash", F.explode(pair).alias("e")).select("hash", "e.pos", "e.source", "e.target", F.expr("e.ns div 1000").alias("us"))
-    g = e.groupBy("hash", "pos", "source", "target").agg(*_stats("us"), F.min("us").alias("min_us"), F.max("us").alias("max_us"))
+    """hash, pos, source, target, n, min_us, max_us, variance_us2, variance_s2."""
+    g = edge_times(paths).groupBy("hash", "pos", "source", "target").agg(*_stats("us"), F.min("us").alias("min_us"), F.max("us").alias("max_us"))
     g = g.withColumn("variance_us2", _variance())
     return g.select("hash", "pos", "source", "target", "n", "min_us", "max_us", "variance_us2", (F.col("variance_us2") / F.lit(1e12)).alias("variance_s2"))
 
@@ -77,6 +82,17 @@ def sums(paths: DataFrame) -> DataFrame:
     return paths.withColumn("us", F.expr("duration_ns div 1000")).groupBy("hash").agg(*_stats("us"))
 
 
+def edge_sums(paths: DataFrame) -> DataFrame:
+    """hash, pos, n, total, squares of a batch of paths' edges."""
+    return edge_times(paths).groupBy("hash", "pos").agg(*_stats("us"))
+
+
+def of_sums(sums: DataFrame, *by: str) -> DataFrame:
+    """by, n_traces, mean_us, variance_us2 of the sums of several batches."""
+    s = sums.groupBy(*by).agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in ("n", "total", "squares"))).withColumn("n", F.col("n").cast("bigint"))
+    return s.select(*by, F.col("n").alias("n_traces"), (F.col("total").cast("double") / F.col("n")).alias("mean_us"), _variance().alias("variance_us2"))
+
+
 def top(groups: DataFrame, by: str, n: int = 6) -> DataFrame:
     """A report's first rows."""
     return groups.orderBy(F.desc(by), "hash").limit(n)

@@ -83,11 +83,7 @@ class Loop:
 
     def groups(self, spark) -> DataFrame:
         """hash, n_traces, mean_us, variance_us2 over all batches so far."""
-        from ..functions import exact_variance
-
-        s = spark.read.parquet(f"{self.folder}/sums").groupBy("hash").agg(*(F.sum(c).cast("decimal(38,0)").alias(c) for c in ("n", "total", "squares")))
-        s = s.withColumn("n", F.col("n").cast("bigint"))
-        return s.select("hash", F.col("n").alias("n_traces"), (F.col("total").cast("double") / F.col("n")).alias("mean_us"), exact_variance(F.col("n"), F.col("total"), F.col("squares")).alias("variance_us2"))
+        return groups.of_sums(spark.read.parquet(f"{self.folder}/sums"), "hash")
 
     def batch(self, paths: DataFrame, number: int) -> None:
         spark = paths.sparkSession
