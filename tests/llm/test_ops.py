@@ -71,6 +71,31 @@ def test_bpe_on_random_texts():
     assert all(ids[a:b].tolist() == enc.encode_ordinary(t) for a, b, t in zip(at[:-1], at[1:], texts, strict=True))
 
 
+def test_bpe_on_long_words():
+    import time
+
+    import tiktoken
+
+    ranks = bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    replay = bpe.MergeReplay(ranks)
+    r = random.Random(4)
+    alphabets = ["a", "ab", "aab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "éaü", "thein", "-", "=-", "漢字"]
+    texts = ["".join(r.choice(a) for _ in range(n)) for a in alphabets for n in (300, 1025, 3001, 9000)] + ["".join(WORDS) * 40]
+    for block in (texts, texts[:1], texts[3:4], [*texts[-3:], "ab", "x"]):
+        got = replay.encode([t.encode() for t in block])
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [enc._encode_single_piece(t) for t in block]
+
+    def took(n):
+        word = "".join(r.choice("etaoinshrdlu") for _ in range(n)).encode()
+        t = time.perf_counter()
+        replay.encode([word])
+        return time.perf_counter() - t
+
+    took(1000)
+    assert took(160_000) < 30 * took(20_000)  # square: 64 times
+
+
 def test_bpe_rejects_unknown_ids(spark):
     bad = spark.createDataFrame([(1, np.array([10**6], "<u4").tobytes())], "doc_id long, ids binary")
     with pytest.raises(Exception, match="an id that the ranks don't have"):

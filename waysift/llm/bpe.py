@@ -40,10 +40,13 @@ class MergeReplay:
     The inverted index goes from a window of merge ranks to the positions whose pair
     has such a rank. The lowest window is served first; of each word it takes the pair
     of lowest rank, at the leftmost of equals, and puts the word's others back, so
-    every word sees its merges in exact rank order while all words move together.
+    every word sees its merges in exact rank order while all words move together. In
+    blocks with long words a pass merges all places of a word's lowest rank that don't
+    overlap, from the left, where that rank's token can't make a pair of lower rank;
+    one place a pass would take a long word time that grows with its square.
     """
 
-    WINDOW = 512  # ranks
+    WINDOW, LONG = 512, 1024  # ranks; bytes of a word that counts as long
     NONE = 2**31 - 1  # the rank of a pair that doesn't merge
 
     def __init__(self, ranks: dict[bytes, int], merges: list[tuple[bytes, bytes]] | None = None) -> None:
@@ -55,6 +58,10 @@ class MergeReplay:
         pairs = sorted((ranks[a] << 32 | ranks[b], ranks[a + b]) for a, b in merges)
         self.keys, self.vals = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
         self.vals = self.vals.astype(np.int32)
+        one, two = self.keys >> 32, self.keys & 0xFFFFFFFF
+        self.early = np.zeros(int(max(ranks.values())) + 1, bool)  # tokens that are part of a token of lower rank
+        for part in (one, two):
+            self.early[part[self.vals <= part]] = True
         every = np.arange(256)
         self.of_bytes = self.of(np.repeat(self.single, 256), np.tile(self.single[every], 256))
 
@@ -72,6 +79,7 @@ class MergeReplay:
         if not todo:
             return out
         sizes = np.array([len(words[k]) for k in todo])
+        long = sizes.max() > self.LONG
         raw = np.frombuffer(b"".join(words[k] for k in todo), np.uint8)
         n, ends = len(raw), np.cumsum(sizes)
         starts = ends - sizes
@@ -105,17 +113,28 @@ class MergeReplay:
             at = at[rank[at] // window == k]  # the others were merged away or have another rank by now
             if not len(at):
                 continue
+            if long:
+                at = np.unique(at)
             order = rank[at].astype(np.int64) << 32 | at
             first = np.r_[0, np.flatnonzero(np.diff(word[at])) + 1]
             best = np.minimum.reduceat(order, first)
-            rest = at[order != np.repeat(best, np.diff(np.r_[first, len(at)]))]
-            i = (best & 0xFFFFFFFF).astype(np.int32)
+            every = np.repeat(best, np.diff(np.r_[first, len(at)]))
+            if long:
+                take = (order == every) | (order >> 32 == every >> 32) & ~self.early[rank[at]]
+                some = np.flatnonzero(take)
+                laps = np.r_[False, right[at[some[:-1]]] == at[some[1:]]]  # over the place before
+                begin = np.maximum.accumulate(np.where(laps, 0, np.arange(len(some))))
+                take[some[(np.arange(len(some)) - begin) % 2 == 1]] = False
+                rest, i = at[~take], at[take]
+            else:
+                rest, i = at[order != every], (best & 0xFFFFFFFF).astype(np.int32)
             r, j = rank[i], right[i]
-            after, before = right[j], left[i]
+            after = right[j]
             sym[i], sym[j], rank[i], rank[j], right[i] = r, -1, none, none, after
             has = after >= 0
             ia, aa = i[has], after[has]
             left[aa] = ia
+            before = left[i]  # now, as the merge before may end there
             rank[ia] = self.of(r[has], sym[aa])
             has = before >= 0
             bb = before[has]
