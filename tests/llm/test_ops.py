@@ -1,6 +1,7 @@
 """The training-data operators against brute force on small tables, with their odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -477,6 +478,42 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict(docs, none).collect()} == {"und"}
 
 
+def plain_language(model, text):
+    """Language and cosine by loops over characters and n-grams."""
+    chars = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text or ""]
+    kept = " " + " ".join("".join(chars).split()) + " "
+    if not kept.strip():
+        return "und", 0.0
+    if "".join(chars).endswith(" "):
+        kept += " "  # the blank after the last word and the text's end
+    c, m, counts = [ord(x) for x in kept], 2**32, {}
+    for n in (1, 2, 3):
+        for k in range(len(c) - n + 1):
+            h = c[k]
+            if n > 1:
+                h = (h * 0x9E3779B1 + c[k + 1]) % m
+            if n > 2:
+                h = (h * 0x85EBCA6B + c[k + 2]) % m
+            h = h * 0xC2B2AE35 % m
+            col = (h ^ h >> 15) >> 7 & langid.COLUMNS - 1
+            counts[col] = counts.get(col, 0) + 1
+    v = {col: math.log1p(n) * float(model.idf[col]) for col, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    cos = [sum(x / norm * float(row[col]) for col, x in v.items()) for row in model.centroids]
+    best = max(range(len(cos)), key=cos.__getitem__)
+    return model.langs[model.of[best]], cos[best]
+
+
+def test_language_equals_plain_loops():
+    texts = [sentence(lang, k) for k, lang in enumerate([*LANGS] * 20)]
+    model = langid.fit(texts[:45], [[*LANGS][k % 3] for k in range(45)])
+    odd = ["", None, "12 !?", "a", " \t Lo  MI-ra, 12x ", "É漢字 ẞİ ß", "lo" * 3000, "x " * 9000, *texts[45:]]
+    lang, score, _ = model.predict(odd)
+    for t, got, of in zip(odd, lang, score, strict=True):
+        want, cos = plain_language(model, t)
+        assert got == want and abs(of - min(1, max(0, cos))) < 1e-5, t
+
+
 def labelled(n, bad, seed):
     r = random.Random(seed)
     rows = []
