@@ -524,6 +524,45 @@ def labelled(n, bad, seed):
     return rows
 
 
+def test_quality_features_are_of_the_text_alone():
+    texts = ["", " \n ", "  lead in. " + prose(70, 1), prose(64, 2) + "  ", "é", None, "x", "A! b", prose(200, 3), ""]
+    x, base = quality.passages(*buffers(pa.array(texts)))
+    for k, t in enumerate(texts):
+        alone, ends = quality.passages(*buffers(pa.array([t], pa.string())))
+        assert ends.tolist() == [0, base[k + 1] - base[k]] and np.array_equal(alone, x[base[k] : base[k + 1]]), t
+    raw = texts[7].encode()
+    pairs = [quality.KIND[a] * quality.KINDS + quality.KIND[b] for a, b in zip(raw, raw[1:])]
+    want = np.zeros(quality.KINDS**2)
+    for c in pairs:
+        want[c] += 1 / len(pairs)
+    assert np.allclose(x[base[7]][: quality.KINDS**2], np.sqrt(want), atol=1e-6)
+
+
+def plain_quality(model, x):
+    """The gated attention's score of one text's passages (centred and scaled), a passage at a time."""
+    p = {k: v.astype(float) for k, v in model.p.items()}
+    hidden, e = [], []
+    for row in x:
+        h = [math.tanh(sum(a * b for a, b in zip(row, p["W"][:, j], strict=True)) + p["b"][j]) for j in range(len(p["b"]))]
+        v = [math.tanh(sum(a * b for a, b in zip(h, p["V"][:, j], strict=True))) for j in range(p["V"].shape[1])]
+        u = [1 / (1 + math.exp(-sum(a * b for a, b in zip(h, p["U"][:, j], strict=True)))) for j in range(p["U"].shape[1])]
+        hidden.append(h)
+        e.append(math.exp(sum(a * b * c for a, b, c in zip(v, u, p["a"][:, 0], strict=True))))
+    z = [sum(w * h[j] for w, h in zip(e, hidden, strict=True)) / sum(e) for j in range(len(hidden[0]))]
+    logit = sum(a * b for a, b in zip(z, p["o"][:, 0], strict=True)) + p["c"][0] + model.shift
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_quality_equals_plain_loops():
+    rows = labelled(60, lambda w, r: " | ".join(w), 7)
+    raw, offsets = buffers(pa.array([t for _, t, _ in rows]))
+    model = quality.fit(raw, offsets, np.array([float(y) for *_, y in rows]), epochs=5)
+    x, base = quality.passages(raw, offsets)
+    got = model.scores(raw, offsets)
+    for k in range(12):
+        assert abs(got[k] - plain_quality(model, model.scaled(x[base[k] : base[k + 1]]).astype(float))) < 1e-4
+
+
 def test_quality(spark, docs, empty):
     rows = labelled(500, lambda w, r: " | ".join(w) if r.random() < 0.5 else " ".join(x.upper() + "!!" for x in w), 100)
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")

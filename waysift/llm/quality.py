@@ -58,13 +58,16 @@ def passages(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     share = lambda w: np.bincount(own, w, p) / np.maximum(count, 1)
     x = np.zeros((p, FEATURES), np.float32)
     if len(starts):
-        new = np.r_[True, own[1:] != own[:-1]]
+        new = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        begin = np.where(new == first[doc[new]], offsets[doc[new]], starts[new])  # what stands before a text's first word is of its first passage
         at = np.zeros(len(raw), np.int64)
-        at[starts[new]] = np.diff(np.r_[0, own[new]])
-        at = np.cumsum(at)  # a byte's passage: that of the last word begun; none before the first
+        at[begin] = np.diff(np.r_[0, own[new]])
+        at = np.cumsum(at)  # a byte's passage: that of the last word begun
+        inside = np.repeat(n > 0, np.diff(offsets))[:-1]  # pairs of bytes of one text that has words
+        inside[np.unique(offsets[(offsets > 0) & (offsets < len(raw))]) - 1] = False
         kind = KIND[raw]
         pair = at[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
-        got = np.bincount(pair[starts[0] :], minlength=p * KINDS * KINDS).reshape(p, -1)
+        got = np.bincount(pair[inside], minlength=p * KINDS * KINDS).reshape(p, -1)
         x[:, : KINDS * KINDS] = np.sqrt(got / np.maximum(got.sum(1, keepdims=True), 1))
         h = hashes(raw, starts, ends)
         size = (ends - starts).astype(np.float64)
