@@ -215,6 +215,11 @@ def test_split_positions(spark):
     df = spark.createDataFrame([(0, 11, 3), (0, 3, 3), (0, 1, 3)], "s int, t int, n int")
     got = [r[0] for r in df.select(search.split_positions(F.col("s"), F.col("t"), 3)).collect()]
     assert got == [[3, 6, 9], [1, 2], []]
+    taken = lambda *on: F.array(*(F.lit(i in on) for i in range(12)))
+    picks = lambda s, t, *on: spark.range(1).select(search.split_positions(F.lit(s), F.lit(t), 3, taken(*on))).first()[0]
+    assert picks(0, 11, 3) == [4, 7, 10]  # the pick after an enabled one, and the next gaps from there
+    assert picks(0, 4, 1) == [2, 3] and picks(0, 4, 3) == [1, 2, 2]  # back by one before the target
+    assert picks(2, 4, 3) == [] and picks(0, 4) == [1, 2, 3]  # nothing else is between
     c = spark.createDataFrame([(["a", "b", "c"], ["a", "b", "d"])], "a array<string>, b array<string>").select(search.common_prefix(F.col("a"), F.col("b"))).first()[0]
     assert c == ["a", "b"]
 

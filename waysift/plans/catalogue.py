@@ -429,7 +429,9 @@ def find_matches(spark, d):
     _end(MATCHES)
     + """, al AS (SELECT group_hash, rank, s, letters, 1 AS i, instr(letters, s[1]) AS p FROM mt UNION ALL SELECT group_hash, rank, s, letters, i + 1, p + instr(substr(letters, p + 1), s[i + 1]) FROM al WHERE i < len(s)),
 ed AS (SELECT a.group_hash, a.rank AS mr, a.i AS edge_pos, a.letters, a.p AS source, b.p AS target, b.p - a.p - 1 AS m FROM al a JOIN al b ON b.group_hash = a.group_hash AND b.rank = a.rank AND b.i = a.i + 1),
-pk AS (SELECT group_hash, edge_pos, mr, k, letters[CASE WHEN m <= 3 THEN source + k ELSE source + k * (m // 4 + 1) END] AS letter FROM ed, range(1, 4) r(k) WHERE (m <= 3 AND k <= m) OR (m > 3 AND source + k * (m // 4 + 1) < target)),
+wk AS (SELECT group_hash, edge_pos, mr, letters, source, target, least(m, 3) AS n, CASE WHEN m <= 3 THEN 0 ELSE m // 4 END AS gap, 0 AS k, source + 1 AS cur, NULL::BIGINT AS pick FROM ed WHERE m > 0 UNION ALL
+SELECT group_hash, edge_pos, mr, letters, source, target, n, gap, k + 1, coalesce(p + 1, target), p FROM (SELECT *, CASE WHEN cur + gap >= target OR moved = source THEN NULL ELSE moved END AS p FROM (SELECT *, CASE WHEN letters[cur + gap] <> 'v' THEN cur + gap WHEN cur + gap + 1 = target THEN cur + gap - 1 ELSE cur + gap + 1 END AS moved FROM wk WHERE k < n))),
+pk AS (SELECT group_hash, edge_pos, mr, k, letters[pick] AS letter FROM wk WHERE pick IS NOT NULL),
 fr AS (SELECT group_hash, edge_pos, letter, min(mr * 100 + k) AS o FROM pk WHERE letter <> 'v' GROUP BY 1, 2, 3),
 rk AS (SELECT *, row_number() OVER (PARTITION BY group_hash, edge_pos ORDER BY o, letter) AS rank FROM fr)
 SELECT group_hash, edge_pos, (SELECT min(event_type) FROM events WHERE substr(event_type, 1, 1) = letter) AS tracepoint, rank FROM rk WHERE rank <= 3"""
