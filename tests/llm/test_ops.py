@@ -622,3 +622,40 @@ def test_components(spark):
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(e, "a long, b long")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 7, 8: 7, 7: 7, 20: 20, 21: 20} | {k: 100 for k in range(100, 180)}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_similar_does_not_compare_texts_that_only_share_a_list(spark, monkeypatch):
+    """Texts of one base that differ too much: their lists are long, but few of their pairs are compared by their sets."""
+    base, rows = words(prose(200, 555)), []
+    for k in range(120):
+        w = list(base)
+        for at in range(6):
+            w[33 * at + random.Random(100 * k + at).randrange(28)] = f"own{k}x{at}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, rows[k][1] + " more") for k in range(0, 120, 40)]
+    compared, verified = [], simhash.verified
+
+    def counted(known, pairs, similarity):
+        compared.append(pairs.count())
+        return verified(known, pairs, similarity)
+
+    monkeypatch.setattr(simhash, "verified", counted)
+    monkeypatch.setattr(simhash, "ORDERED", 1)  # as in a large table, whose sample tells little of a shingle
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()}
+    assert got == {k: k - 200 if k >= 200 else k for k, _ in rows}
+    assert sum(compared) < 1200, compared
+
+
+def test_parities_reject_no_similar_pair():
+    r = random.Random(8)
+    texts = [prose(r.randrange(1, 400), k) for k in range(40)] + [prose(6000, 99)]
+    texts += [edited(t, share, 7 * k) for k, t in enumerate(texts) for share in (0.005, 0.02, 0.05)] + ["", "a b"]
+    sets = list(simhash.shingle_sets(pa.array(texts), 5))
+    found = list(simhash.parities(pa.array(texts), 5))
+    assert [n for n, _ in found] == [len(s) for s in sets]
+    marks = simhash.Marks([pa.array([x for _, x in found], pa.binary())], np.array([n for n, _ in found]))
+    i, j = (np.array(x) for x in zip(*((i, j) for i in range(len(texts)) for j in range(i)), strict=True))
+    near = marks.near(i, j, 0.8)
+    similar = np.array([len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    close = np.array([min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) for a, b in zip(i, j, strict=True)])
+    assert near[similar].all() and similar.sum() > 60 and (near & close).sum() < 2 * similar.sum() < close.sum() / 4

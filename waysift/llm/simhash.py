@@ -34,6 +34,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 FRONTIER, LEAVES = 1 << 20, 64
 #: For similarity: texts whose shingles are counted, counts that are kept, how much further apart a round's pairs of a list are than those of the round before, and pairs of sets in an Arrow batch.
 ORDERED, USUAL, STEP, PAIR_ROWS = 20_000, 1 << 17, 64, 64
+#: Bits of a set's parities at most.
+MARK_BITS = 4096
 NAMES = ["token", "id", "n", "place", "other"]
 
 
@@ -207,6 +209,53 @@ def prefixes(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     return docs.select("doc_id", "text", "group").mapInArrow(run, "token long, id long, n int, place int, group long")
 
 
+def parities(column: pa.Array, size: int) -> Iterator[tuple[int, bytes]]:
+    """By text, how many shingles its set has, and by bit whether an odd number of them fall on it: about a bit a shingle, a power of two from 64 to MARK_BITS."""
+    for h in shingle_sets(column, size):
+        m = min(MARK_BITS, max(64, 1 << (max(1, len(h)) - 1).bit_length()))
+        at = ((h ^ h >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64) & (m - 1)
+        yield len(h), np.packbits((np.bincount(at, minlength=m) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def marks_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, n, bits: parities() of the docs in ids (doc_id), by id and size of the set; null where one id has several sets of that size."""
+
+    @sliced
+    def run(batches: Iterable) -> Iterator:
+        for b in batches:
+            found = list(parities(b.column("text"), size))
+            yield pa.record_batch([b.column("doc_id"), pa.array([n for n, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["id", "n", "bits"])
+
+    chosen = docs.select("doc_id", "text").join(ids.distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    made = chosen.mapInArrow(run, "id long, n int, bits binary")
+    return table(made.groupBy("id", "n").agg(F.when(F.count("*") == 1, F.any_value("bits")).alias("bits")), "marks")
+
+
+class Marks:
+    """parities() of rows, for a bound on how much the sets of two rows differ: a shingle of one set only flips a bit, so at least as many shingles differ as bits do."""
+
+    def __init__(self, columns: list[pa.Array], n: np.ndarray) -> None:
+        parts = [buffers(c) for c in columns]
+        self.n, self.words = n, np.concatenate([np.diff(offsets) for _, offsets in parts]).astype(np.int64) // 8
+        self.flat = np.concatenate([np.frombuffer(raw.tobytes(), "<u8") for raw, _ in parts])
+        self.start = np.cumsum(self.words) - self.words
+
+    def near(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Whether the sets of rows i and j may have that Jaccard similarity; rows without bits may."""
+        ok = np.ones(len(i), bool)
+        kind = self.words[i] << 32 | self.words[j]
+        for k in np.unique(kind).tolist():
+            one, two = k >> 32, k & 0xFFFFFFFF
+            few = min(one, two)
+            part = np.flatnonzero(kind == k)
+            for at in np.array_split(part, -(-len(part) * max(one, two) >> 20) or 1) if few else ():
+                # bits of a larger mark, folded, are those of a smaller one
+                a, b = (np.bitwise_xor.reduce(self.flat[self.start[rows[at]][:, None] + np.arange(m)].reshape(len(at), -1, few), axis=1) for rows, m in ((i, one), (j, two)))
+                total = self.n[i[at]].astype(np.int64) + self.n[j[at]]
+                ok[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) * (1 + similarity) <= (1 - similarity) * total + 1e-6
+        return ok
+
+
 def listed_pairs(token: np.ndarray, ids: np.ndarray, n: np.ndarray, place: np.ndarray, group: np.ndarray, low: int, high: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of pairs of one token, low to under high places apart in its list, of unequal groups, which may reach the similarity if the token is the first they share. All are sorted by token, then id."""
     for gap in range(low, high):
@@ -262,7 +311,9 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
     rarest shingles are listed that similar ones share a listed one, and pairs of a list
     are held against each other by their sets, first neighbours, then those further
     apart, up to the list's length, each pair only if what was verified before does not
-    join its two texts already. So a large group of near copies costs few comparisons a
+    join its two texts already. From the second round on pairs whose sets differ too much by
+    their parities (a bit a shingle) aren't compared, so that texts of a long list that are
+    not similar cost a count of bits. So a large group of near copies costs few comparisons a
     text, and a rejected pair takes no other pair's place. Rows of one id are one text
     with several sets. stored: df is a table, in buckets of its ids at best, and is read
     in place; else its ids and texts are stored so.
@@ -291,18 +342,23 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
     def meet(low: int, high: int) -> Callable:
         def run(batches: Iterable) -> Iterator:
             """Pairs (id, other), and with other null the lists that later rounds need."""
-            got = [[b.column(c).to_numpy() for c in ("token", "id", "n", "place", "group")] for b in batches if b.num_rows]
+            got, bits = [], []
+            for b in batches:
+                if b.num_rows:
+                    got.append([b.column(c).to_numpy() for c in ("token", "id", "n", "place", "group")])
+                    bits += [b.column("bits")] if "bits" in b.schema.names else []
             if not got:
                 return
             token, ids, n, place, group = (np.concatenate(x) for x in zip(*got, strict=True))
             del got
-            order = np.lexsort((place, n, ids, token))  # the same in each round
-            token, ids, n, place, group = (x[order] for x in (token, ids, n, place, group))
-            del order
+            marks = Marks(bits, n) if bits else None
+            del bits
+            row = np.lexsort((place, n, ids, token))  # the same in each round
+            token, ids, n, place, group = (x[row] for x in (token, ids, n, place, group))
 
             def only(keep: np.ndarray) -> None:
-                nonlocal token, ids, n, place, group
-                token, ids, n, place, group = (x[keep] for x in (token, ids, n, place, group))
+                nonlocal token, ids, n, place, group, row
+                token, ids, n, place, group, row = (x[keep] for x in (token, ids, n, place, group, row))
 
             _, at, count = np.unique(token, return_inverse=True, return_counts=True)
             split = np.zeros(len(count), bool)
@@ -310,6 +366,9 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
             only((split & (count > low))[at])
             seen = np.zeros((0, 2), np.int64)
             for i, j in listed_pairs(token, ids, n, place, group, low, high, similarity):
+                if marks:
+                    near = marks.near(row[i], row[j], similarity)
+                    i, j = i[near], j[near]
                 seen = np.r_[seen, np.stack((ids[i], ids[j]), 1)]
                 if len(seen) > FRONTIER:
                     seen = np.unique(seen, axis=0)
@@ -333,6 +392,7 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
     posts = prefixes(grouped.withColumn("group", F.coalesce("group", "doc_id")), size, similarity)
     low, high = 1, 4
     old: list[DataFrame] = []
+    marks: DataFrame | None = None
     while True:
         met = table(posts.repartition("token").mapInArrow(meet(low, high), "token long, id long, n int, place int, other long"), "met")
         drop(old, collect=False)
@@ -351,7 +411,9 @@ def similar(df: DataFrame, size: int = 5, similarity: float = 0.8, budget: int =
         if lists.isEmpty():
             break
         low, high = high, high * STEP
-        posts = lists.join(joined.hint("merge"), "id", "left").select("token", "id", "n", "place", F.coalesce("component_id", "id").alias("group"))
+        if marks is None:  # those of later rounds are among these
+            marks = marks_of(docs, lists.select(F.col("id").alias("doc_id")), size)
+        posts = lists.join(joined.hint("merge"), "id", "left").join(marks.hint("merge"), ["id", "n"], "left").select("token", "id", "n", "place", F.coalesce("component_id", "id").alias("group"), "bits")
     ends = table(classes.join(joined, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id")), "ends")
-    drop([classes, joined, *old] + ([] if stored else [docs]))
+    drop([classes, joined, *old] + ([marks] if marks is not None else []) + ([] if stored else [docs]))
     return rows.join(ends.hint("merge"), "digest", "left").select("doc_id", "component_id")
