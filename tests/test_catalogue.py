@@ -67,3 +67,30 @@ def test_event_id_to_uuid_takes_every_id(spark, tmp_path):
     spark.createDataFrame([(7,), (65536,), (2**40 + 5,)], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.id: r.uuid for r in catalogue.event_id_to_uuid(spark, str(tmp_path)).collect()}
     assert set(got) == {"7", "65536", str(2**40 + 5)} and len(set(got.values())) == 3 and all(len(u) == 36 for u in got.values())
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_build_finds_contained_words_in_texts(spark, monkeypatch, shared):
+    """Against plain loops; with letters that several tracepoints share, words are walked."""
+    import random
+
+    from waysift import functions
+    from waysift.operators import manifest
+
+    if shared:
+        monkeypatch.setattr(functions, "_LETTERS", 3)
+    r = random.Random(3)
+    paths = sorted({(t, tuple(r.choice("abcde") for _ in range(r.randrange(1, 9)))) for t in "xy" for _ in range(150)})
+    rows = [(t, "-".join(p), list(p)) for t, p in paths] + [(t, "-".join(p), list(p)) for t, p in paths[:40]]
+    made = manifest.build(spark.createDataFrame(rows, "request_type string, hash string, tracepoints array<string>"))
+
+    def contained(short, long):
+        rest = iter(long)
+        return short != long and all(c in rest for c in short)
+
+    want = {}
+    for t, p in paths:
+        if not any(contained(p, q) for u, q in paths if u == t):
+            want[t, "-".join(p)] = (list(p), len(p), 1 + sum(contained(q, p) for u, q in paths if u == t), 1 + ((t, p) in paths[:40]))
+    assert {(m.request_type, m.hash): (m.tracepoints, m.path_len, m.occurrences, m.added) for m in made.collect()} == want
+    assert "regexp_extract_all" in plan(made)  # words of a text meet a path at once, not pair by pair
