@@ -659,3 +659,32 @@ def test_parities_reject_no_similar_pair():
     similar = np.array([len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
     close = np.array([min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) for a, b in zip(i, j, strict=True)])
     assert near[similar].all() and similar.sum() > 60 and (near & close).sum() < 2 * similar.sum() < close.sum() / 4
+
+
+def test_encoder_looks_at_each_new_word_once(monkeypatch):
+    t = packing.tokenizer(P.path("byte_bpe_50k.json"), P.PATTERN)
+    encoder, seen, plain = bpe.Encoder(t.encoder.replay, P.PATTERN), [], bpe.PLAIN
+    monkeypatch.setattr(bpe, "PLAIN", lambda c: seen.append(c) or plain(c))
+    encoder.block(*buffers(pa.array([prose(300, 3) + " it's  two\n\n blanks", prose(50, 4)])))
+    assert seen and len(seen) == len(set(seen))
+
+
+def test_exact_windows_cost_no_padding():
+    """Cuts of least cost against all ways to cut: windows of a power of two cost nothing."""
+    r = random.Random(5)
+    for _ in range(60):
+        n = r.randrange(1, 40)
+        docs = np.array(sorted({n, *(r.randrange(1, n + 1) for _ in range(3))}))
+        sentences = np.array(sorted({r.randrange(1, n + 1) for _ in range(4)}))
+        fee = [0 if k in docs else 1 if k in sentences else 8 for k in range(n + 1)]
+        cost = lambda ends: sum(fee[b] + (0 if (b - a) & (b - a - 1) == 0 else 16 - (b - a)) for a, b in zip([0, *ends[:-1]], ends, strict=True))  # noqa: B023, E731
+        best = [0.0] + [float("inf")] * n
+        soft = {0, n, *docs.tolist(), *sentences.tolist()}
+        for b in range(1, n + 1):
+            for a in range(max(0, b - 16), b):
+                if b in soft or b - a == 16:
+                    best[b] = min(best[b], best[a] + fee[b] + (0 if (b - a) & (b - a - 1) == 0 else 16 - (b - a)))
+        got = packing.cuts(n, docs, sentences, 16, 1, 8, 1)
+        assert got[-1] == n and all(0 < b - a <= 16 for a, b in zip([0, *got[:-1]], got, strict=True)) and cost(got) >= best[n]
+        if n <= 16:
+            assert cost(got) == best[n]

@@ -277,8 +277,10 @@ class Encoder:
         return [w for k, part in enumerate(self.special(chunk)) for w in ([part] if k % 2 else self.words_in(part))]
 
     def learn(self, fresh: list[bytes]) -> None:
-        simple = [c for c in fresh if PLAIN(c)]
-        found = [(c, [w.encode() for w in self.cut(c.decode())]) for c in fresh if not PLAIN(c)]
+        simple, others = [], []
+        for c in fresh:
+            (simple if PLAIN(c) else others).append(c)
+        found = [(c, [w.encode() for w in self.cut(c.decode())]) for c in others]
         new = list({w for _, x in found for w in x}.difference(self.known, simple))
         new += simple
         self.known.update(zip(new, self.replay.encode(new), strict=True))

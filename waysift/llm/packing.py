@@ -94,19 +94,19 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SI
     number = np.full(n + 1, -1)  # of the cut at a place
     number[at] = np.arange(len(at))
     price, is_soft = fees[at], soft_here[at]
-    exact: dict[int, list[int]] = {}  # cuts a power of two before a soft cut
+    to, back = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # soft cuts, and cuts a power of two before them
     own = number[soft]
     w = max(1, size // 4 if exact_from is None else exact_from)
     w = 1 << (w - 1).bit_length()
     while w <= size:
         j = number[np.maximum(soft - w, 0)]
         ok = (j >= 0) & (soft >= w)
-        for k, f in zip(own[ok].tolist(), j[ok].tolist(), strict=True):
-            if k in exact:
-                exact[k].append(f)
-            else:
-                exact[k] = [f]
+        to.append(own[ok])
+        back.append(j[ok])
         w *= 2
+    order = np.argsort(np.concatenate(to), kind="stable")
+    exact = np.concatenate(back)[order].tolist()
+    upto = np.cumsum(np.bincount(np.concatenate(to), minlength=len(at))).tolist()  # by cut, the end of its part of these
     before = number[np.maximum(at - size, 0)].tolist()
     cost, came, pos, fee, soft_at = [0.0], [0], at.tolist(), price.tolist(), is_soft.tolist()
     queue, least, head = [-1, 0], [float("-inf"), 0.0], 1  # cuts with their cost + position, rising in both, after a stop
@@ -117,10 +117,9 @@ def cuts(n: int, doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SI
             while pos[queue[head]] < low:
                 head += 1
             frm, best = queue[head], least[head] + size - p
-            if k in exact:
-                for f in exact[k]:
-                    if cost[f] < best:
-                        frm, best = f, cost[f]
+            for f in exact[upto[k - 1] : upto[k]]:
+                if cost[f] < best:
+                    frm, best = f, cost[f]
         else:  # only as the end of a whole window
             frm = before[k]
             best = cost[frm]
