@@ -456,6 +456,38 @@ def test_embeddings_in_many_shards(spark, monkeypatch):
     assert all(found[k] <= real[k] for k in real) and sum(found.values()) >= 0.98 * sum(real.values())
 
 
+def test_graphs_travel_in_small_parts(spark, monkeypatch):
+    """A shard's graph is 80 times a part here; no row of what is stored holds more than a part."""
+    monkeypatch.setattr(hnsw, "PART_BYTES", 1 << 12, raising=False)
+    most, keep = {}, hnsw.table
+
+    def seen(df, name):
+        out = keep(df, name)
+        binary = [c for c, kind in out.dtypes if kind == "binary"]
+        if binary:
+            most[name] = max(r for r in out.selectExpr(*(f"max(octet_length({c}))" for c in binary)).first() if r)
+        return out
+
+    monkeypatch.setattr(hnsw, "table", seen)
+    r = np.random.default_rng(4)
+    x = r.standard_normal((2000, 16))
+    x[1000:1300] = x[:300] + 0.02 * r.standard_normal((300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {g.vec_id: g.n_links for g in hnsw.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert most["graphs"] <= 1 << 12 and max(most.values()) <= 1 << 12
+    real = (x @ x.T >= 0.95).sum(1) - 1
+    assert len(got) == 2000 and all(got[k] <= real[k] for k in got) and sum(got.values()) >= 0.98 * real.sum() > 500
+
+
+def test_graph_is_restored_from_its_links():
+    x = np.random.default_rng(5).standard_normal((700, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = hnsw.Graph(x)
+    again = hnsw.Graph.restored(x, g.links())
+    q = x[:100].astype(np.float32)
+    assert all((a == b).all() for a, b in zip(g.find(q, 32), again.find(q, 32), strict=True))
+
+
 LANGS = {"aa": "lo mi ra tel nor vis pam".split(), "bb": "sch ung keit ver gra zuf tz".split(), "cc": "qua eux oir ien ment eau ç".split()}
 
 

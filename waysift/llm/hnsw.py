@@ -2,7 +2,8 @@
 
 Equal vectors are one node with a weight. Nodes are dealt to shards by a hash; each
 shard's graph is built from its top layer down, in batches whose searches move in
-lockstep. Every node then queries every shard, in blocks. A query's beam widens while
+lockstep. Graphs lie and travel in small parts; a task puts a shard's together, and
+every node then queries every shard, in blocks that stream past it. A query's beam widens while
 all it holds is within the threshold, and a block's beams widen until an audit of some
 of its queries, and of probes made beside the shard's vectors, against all vectors of
 the shard finds recall enough; a beam as wide as the shard is exhaustive. Hits are
@@ -20,9 +21,9 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from .components import components, forest
 LINKS, BUILD_BEAM, BEAM = 16, 64, 64
 #: Bytes of a shard's and of a block's vectors at most (a vector at least), and the fewest of each that are made.
 SHARD_BYTES, BLOCK_BYTES, FEWEST = 1 << 25, 1 << 24, 4
+#: Bytes of a graph in a row, and the tasks (a shard with some blocks) from which more don't help.
+PART_BYTES, TASKS = 1 << 14, 64
 #: Queries of a block that are audited, as many probes, and the recall they need; the widest beam.
 AUDIT, RECALL, WIDEST = 96, 0.98, 4096
 
@@ -48,7 +51,7 @@ class Layer:
     def search(self, q: np.ndarray, start: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """The beam nearest nodes found from start (queries x some nodes): numbers (-1: none) and cosines, best first."""
         ids, sims = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), -2, np.float32)
-        size = max(16, min(1024, (1 << 26) // max(1, len(self.x))))
+        size = max(16, min(1024, (1 << 26) // max(1, len(self.x)), (1 << 19) // beam))
         for i in range(0, len(q), size):
             k = slice(i, i + size)
             ids[k], sims[k] = self._block(q[k], start[k], beam, step)
@@ -172,6 +175,21 @@ class Graph:
             start = layer.search(q, start, 8)[0][:, :4]
         return self.layers[-1].search(q, start, beam)
 
+    def links(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each layer's nodes and their neighbours: with the vectors, all that restored() needs."""
+        return [(layer.nodes, layer.near[layer.nodes]) for layer in self.layers]
+
+    @classmethod
+    def restored(cls, x: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> Graph:
+        g = cls.__new__(cls)
+        g.x, g.layers = np.zeros((len(x) + 1, x.shape[1]), np.float32), []
+        g.x[:-1] = x
+        for nodes, near in links:
+            layer = Layer(g.x, nodes, near.shape[1])
+            layer.near[nodes] = near
+            g.layers.append(layer)
+        return g
+
 
 def probes(vectors: np.ndarray, threshold: float, n: int) -> np.ndarray:
     """Unit vectors beside n of the vectors, in a direction of their own, with a cosine to them that is barely enough."""
@@ -265,36 +283,68 @@ def near_duplicates(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_i
     by = lambda m: F.element_at(F.create_map(*(F.lit(x) for kv in m.items() for x in kv)), F.octet_length("v"))
     dealt = table(nodes.select("*", F.octet_length("v").alias("kind"), F.pmod(F.xxhash64(F.lit(1), "id"), by(shards)).cast("int").alias("shard"), F.pmod(F.xxhash64(F.lit(2), "id"), by(blocks)).cast("int").alias("block")), "dealt")
 
-    def unit(v: Iterable[bytes]) -> np.ndarray:
+    def unit(v: list[bytes]) -> np.ndarray:
         x = np.frombuffer(b"".join(v), "<f8").reshape(len(v), -1)
         x = x / np.abs(x).max(1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = unit(pdf["v"].tolist())
-        blob = pickle.dumps((pdf["id"].to_numpy(), pdf["weight"].to_numpy(), x, Graph(x)), protocol=5)
-        return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "shard": pdf["shard"].iloc[:1], "graph": [blob]})
-
-    graphs = table(dealt.groupBy("kind", "shard").applyInPandas(build, "kind int, shard int, graph binary"), "graphs")
-
-    def ask(queries: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"id": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "to": pd.Series(dtype="Int64")})
-        if not len(queries) or not len(graph):
-            return out
-        ids, weight, x, g = pickle.loads(graph["graph"].iloc[0])
-        queries = queries.sort_values("id")
-        own = queries["id"].to_numpy()
-        n, every, root = folded(g, x, ids, weight, unit(queries["v"].tolist()), own, threshold)
-        far = np.flatnonzero(root != np.arange(len(every)))
-        hit = n > 0
-        return pd.DataFrame({"id": np.r_[own[hit], every[far]], "n": np.r_[n[hit], np.zeros(len(far), np.int64)], "to": pd.array([None] * int(hit.sum()) + every[root[far]].tolist(), dtype="Int64")})
-
-    keys = ["kind", "shard", "block"]
-    asks = dealt.select("kind", "block", "id", "v", F.explode(F.sequence(F.lit(0), by(shards) - 1)).alias("shard"))
-    kinds = F.create_map(*(F.lit(x) for kv in blocks.items() for x in kv))
-    shared = graphs.select("*", F.explode(F.sequence(F.lit(0), F.element_at(kinds, F.col("kind")) - 1)).alias("block"))
-    found = table(asks.groupBy(*keys).cogroup(shared.groupBy(*keys)).applyInPandas(ask, "id long, n long, to long"), "found")
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return x
+
+    def lines(batches: Iterable) -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
+
+    @sliced
+    def build(batches: Iterable) -> Iterator:
+        for (kind, shard), nodes in groupby(lines(batches), lambda r: r[:2]):
+            ids, weight, v = map(list, zip(*(r[2:] for r in nodes), strict=True))
+            x = unit(v)
+            v.clear()
+            blob = memoryview(pickle.dumps((np.array(ids), np.array(weight), x, Graph(x).links()), protocol=5))
+            n = -(-len(blob) // PART_BYTES)
+            for first in range(0, n, 256):
+                part = range(first, min(first + 256, n))
+                columns = [pa.array([kind] * len(part), pa.int32()), pa.array([shard] * len(part), pa.int32()), pa.array([i - n for i in part], pa.int32()), pa.array([blob[i * PART_BYTES : (i + 1) * PART_BYTES] for i in part], pa.binary())]
+                yield pa.record_batch(columns, names=["kind", "shard", "at", "v"])
+
+    def parted(df: DataFrame, n: int, keys: list[str], rest: list[str]) -> DataFrame:
+        return df.repartition(n, *keys).sortWithinPartitions(*keys, *rest)
+
+    built = parted(dealt.select("kind", "shard", "id", "weight", "v"), 2 * sum(shards.values()), ["kind", "shard"], ["id"])
+    graphs = table(built.mapInArrow(build, "kind int, shard int, at int, v binary"), "graphs")
+
+    @sliced
+    def ask(batches: Iterable) -> Iterator:
+        for _, rows in groupby(lines(batches), lambda r: r[:3]):  # kind, shard, crew
+            graph, blob = None, []
+            for block, some in groupby(rows, lambda r: r[4]):  # -1, the graph's parts, comes first
+                if block < 0:
+                    blob += (r[6] for r in some)
+                    continue
+                if graph is None:
+                    if not blob:
+                        break
+                    whole = b"".join(blob)
+                    blob.clear()
+                    ids, weight, x, links = pickle.loads(whole)
+                    del whole
+                    graph = Graph.restored(x, links)
+                    del links
+                own, v = map(list, zip(*(r[5:] for r in some), strict=True))
+                queries, own = unit(v), np.array(own)
+                v.clear()
+                n, every, root = folded(graph, x, ids, weight, queries, own, threshold)
+                far, hit = np.flatnonzero(root != np.arange(len(every))), n > 0
+                to = pa.concat_arrays([pa.nulls(int(hit.sum()), pa.int64()), pa.array(every[root[far]], pa.int64())])
+                yield pa.record_batch([pa.array(np.r_[own[hit], every[far]], pa.int64()), pa.array(np.r_[n[hit], np.zeros(len(far), np.int64)], pa.int64()), to], names=["id", "n", "to"])
+
+    # a crew of blocks goes past one copy of a shard's graph
+    crews = {k: min(blocks[k], max(FEWEST, -(-TASKS // shards[k]))) for k in sizes}
+    asks = dealt.select("kind", F.explode(F.sequence(F.lit(0), by(shards) - 1)).alias("shard"), F.pmod("block", by(crews)).cast("int").alias("crew"), F.lit(0).alias("at"), "block", "id", "v")
+    kinds = F.create_map(*(F.lit(x) for kv in crews.items() for x in kv))
+    shared = graphs.select("kind", "shard", F.explode(F.sequence(F.lit(0), F.element_at(kinds, F.col("kind")) - 1)).alias("crew"), "at", F.lit(-1).alias("block"), F.lit(None).cast("long").alias("id"), "v")
+    tasks = 2 * sum(shards[k] * crews[k] for k in sizes)
+    met = parted(shared.unionByName(asks), tasks, ["kind", "shard", "crew"], ["block", "at", "id"])
+    found = table(met.mapInArrow(ask, "id long, n long, to long"), "found")
     count = found.filter("to is null").groupBy("id").agg(F.sum("n").alias("n"))
     joined = components(found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")))
     ends = table(nodes.join(count, "id", "left").join(joined, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")), "ends")
