@@ -94,3 +94,30 @@ def test_build_finds_contained_words_in_texts(spark, monkeypatch, shared):
             want[t, "-".join(p)] = (list(p), len(p), 1 + sum(contained(q, p) for u, q in paths if u == t), 1 + ((t, p) in paths[:40]))
     assert {(m.request_type, m.hash): (m.tracepoints, m.path_len, m.occurrences, m.added) for m in made.collect()} == want
     assert "regexp_extract_all" in plan(made)  # words of a text meet a path at once, not pair by pair
+
+
+@pytest.mark.parametrize("name", ["manifest_paths", "manifest_stats", "find_matches", "search_flat"])
+def test_events_are_read_once(spark, name):
+    """Distinct paths are held: the plan over them doesn't go back to the events (it did in up to 30 places)."""
+    p = plan(ALL[name](spark, SF))
+    assert "FileScan" not in p and "Scan ExistingRDD" in p
+
+
+def test_build_takes_paths_that_are_summed_up(spark):
+    from waysift.operators import manifest
+
+    rows = [("x", "ab", ["a", "b"], 3), ("x", "ab", ["a", "b"], 4), ("x", "a", ["a"], 5), ("y", "a", ["a"], 6)]
+    made = manifest.build(spark.createDataFrame(rows, "request_type string, hash string, tracepoints array<string>, added long"))
+    assert {(m.request_type, m.hash, m.occurrences, m.added) for m in made.collect()} == {("x", "ab", 2, 7), ("y", "a", 1, 6)}
+
+
+def test_type_of_a_path_is_its_tag(spark):
+    from pyspark.sql import functions as F
+
+    from waysift.operators import manifest
+
+    paths = {"a": ["click"], "b": ["view", "click"], "c": ["purchase", "signup", "error"], "d": ["signup", "purchase", "purchase"], "e": ["error", "view", "signup", "view"]}
+    df = spark.createDataFrame([*paths.items()], "base_id string, tracepoints array<string>")
+    tagged = manifest.tag(df.select("base_id", F.posexplode("tracepoints").alias("pos", "tracepoint")), types=catalogue.EVENT_TYPES)
+    got = df.select("base_id", manifest.path_type(F.col("tracepoints"), catalogue.EVENT_TYPES)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, tagged.collect())) and dict(map(tuple, got)) == {"a": "Unknown", "b": "View", "c": "Signup", "d": "Purchase", "e": "View"}
