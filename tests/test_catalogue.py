@@ -121,3 +121,24 @@ def test_type_of_a_path_is_its_tag(spark):
     tagged = manifest.tag(df.select("base_id", F.posexplode("tracepoints").alias("pos", "tracepoint")), types=catalogue.EVENT_TYPES)
     got = df.select("base_id", manifest.path_type(F.col("tracepoints"), catalogue.EVENT_TYPES)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, tagged.collect())) and dict(map(tuple, got)) == {"a": "Unknown", "b": "View", "c": "Signup", "d": "Purchase", "e": "View"}
+
+
+def test_hierarchical_within_joins_nothing_and_equals_the_walk_by_joins(spark):
+    """The plan over line items joins enabled tracepoints only; on traces with annotations, missing ends and spans that cross, candidates are those of hierarchical()."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from waysift.operators import search
+
+    p = plan(ALL["search_hierarchical"](spark, SF))
+    assert p.count("Join") == 1 and "UnionLoop" not in p
+    r = random.Random(5)
+    rows = [(f"t{t}", o, r.choice(["s1", "s2", "s3", None]), r.choice(["Entry", "Entry", "Exit", "Annotation"]), r.choice("abc")) for t in range(60) for o in range(r.randrange(1, 12))]
+    s = spark.createDataFrame(rows, "base_id string, ord int, span string, variant string, tracepoint string")
+    enabled = spark.createDataFrame([("c",)], "tracepoint string")
+    c = search.span_context(s.withColumn("span", F.coalesce("span", F.lit("none"))))
+    edges = c.select("base_id", F.col("ord").alias("edge_pos"), F.col("context").alias("target_context")).join(c.select("base_id", (F.col("ord") + 1).alias("edge_pos"), F.col("context").alias("source_context")), ["base_id", "edge_pos"])
+    want = search.hierarchical(edges, s, enabled, ("base_id",)).select("base_id", "edge_pos", "tracepoint")
+    got = sorted(map(tuple, search.hierarchical_within(s, enabled).collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 50
